@@ -142,7 +142,7 @@ def choose_hyper(scores: DataFrame, strength: str = "C", best: str = "max", pref
     signed = F.col("mean_score") if best == "max" else -F.col("mean_score")
     lean = -F.col(strength) if prefer == "small" else F.col(strength)
     winner = F.max(
-        F.struct(signed.alias("a"), (-F.col("l1_ratio")).alias("b"), lean.alias("c"), strength, "l1_ratio", "mean_score")
+        F.struct(signed.alias("_score"), (-F.col("l1_ratio")).alias("_l1"), lean.alias("_lean"), strength, "l1_ratio", "mean_score")
     )
     return (
         means.groupBy("fit_id")
