@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from markerloom.catalog.common import BRANDS, Registry, listed, rounded
 from markerloom.operators import clusters
 from markerloom.operators.presence import feature_counts, vocabulary
+from markerloom.session import written
 from markerloom.sources import tables
 
 registry = Registry()
@@ -21,7 +22,7 @@ TOI = "BUILDING"
 
 def brand_leaves(spark, sf):
     """``sample_id, leaves`` and the labelled baskets they come from."""
-    baskets = tables.brand_baskets(spark, sf)
+    baskets = written(tables.brand_baskets(spark, sf), "baskets")
     names = vocabulary(feature_counts(baskets))
     leaf = [
         F.when(F.array_contains("items", a), 2).otherwise(0) + F.when(F.array_contains("items", b), 1).otherwise(0)
@@ -57,7 +58,8 @@ def brand_clusters(spark, sf):
     """``sample_id, target, cluster, items``."""
     leaves, baskets = brand_leaves(spark, sf)
     assigned = clusters.assign_clusters(leaves, clusters.choose_medoids(leaves, CANDIDATES))
-    return clusters.label_clusters(baskets, assigned).join(baskets.select("sample_id", "items"), "sample_id")
+    labelled = clusters.label_clusters(baskets, assigned)
+    return written(labelled.join(baskets.select("sample_id", "items"), "sample_id"), "clustered")
 
 
 @registry.add(

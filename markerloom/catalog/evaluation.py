@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from markerloom.catalog.common import BRANDS, WORDS, Registry, rounded
 from markerloom.catalog.presence import CODES, PRUNED
 from markerloom.operators import folds, metrics, presence, stability
+from markerloom.session import written
 from markerloom.sources import tables
 
 registry = Registry()
@@ -236,7 +237,8 @@ def word_profile(spark, sf):
     """Word baskets over the pruned vocabulary."""
     baskets = tables.document_baskets(spark, sf)
     kept = presence.prune_features(baskets)
-    return presence.restrict_items(baskets, presence.vocabulary(kept)), kept
+    kept = written(kept, "kept")
+    return written(presence.restrict_items(baskets, presence.vocabulary(kept)), "profile"), kept
 
 
 def class_coef(baskets, assigned, cut=CUT):
@@ -293,7 +295,7 @@ coef AS (SELECT * FROM gaps WHERE abs(coef) >= {CUT})"""
 def word_coef(spark, sf):
     baskets, kept = word_profile(spark, sf)
     assigned = folds.repeated_folds(baskets, SPLITS, REPEATS, SEED, True, INNER)
-    return baskets, kept, assigned, class_coef(baskets, assigned)
+    return baskets, kept, assigned, written(class_coef(baskets, assigned), "coef")
 
 
 FITS = SPLITS * REPEATS

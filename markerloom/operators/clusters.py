@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.functions.tails import binomial_spread_p, binomial_two_sided_p
+from markerloom.operators.presence import exploded
 
 BOOTSTRAPS = 1000
 CLUSTERS = (0, 1)
@@ -147,7 +148,7 @@ def non_target_slice(clustered: DataFrame, coi: int, toi: str) -> DataFrame:
 def cluster_feature_counts(clustered: DataFrame) -> DataFrame:
     """``feature, cluster, k``: present samples per feature and cluster."""
     return (
-        clustered.select("cluster", F.explode("items").alias("feature"))
+        exploded(clustered, "cluster")
         .groupBy("feature", "cluster")
         .agg(F.count("*").alias("k"))
     )

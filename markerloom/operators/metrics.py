@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.operators.ranking import sum_below
+from markerloom.session import written
 
 
 def _per(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -24,12 +25,17 @@ def _ratio(top: Column, bottom: Column, empty: Column) -> Column:
 
 
 def roc_auc(df: DataFrame, keys: Sequence[str] = (), truth: str = "y_true", score: str = "score") -> DataFrame:
-    """Area under the ROC curve, ties count half; NULL with a single class."""
+    """Area under the ROC curve, ties count half; NULL with a single class.
+
+    Counts per distinct score are written once, because bounds, bucket totals
+    and running sums all read them.
+    """
     df, keys = _per(df, keys)
     points = df.groupBy(*keys, score).agg(
         F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col(truth) == 1, 0).otherwise(1)).alias("_neg"),
     )
+    points = written(points, "points")
     ranked = sum_below(points, keys, score, "_neg", "_below")
     won = F.sum((F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0))).cast("double"))
     area = ranked.groupBy(*keys).agg(won.alias("_won"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
@@ -110,8 +116,8 @@ def macro_auc(
     ``prob`` is a map from class to probability.
     """
     df, keys = _per(df, keys)
-    long = df.select(*keys, F.col(truth).alias("_t"), F.explode(prob).alias("class", "score"))
-    long = long.withColumn("y_true", F.when(F.col("_t") == F.col("class"), 1).otherwise(0))
+    long = df.select(*keys, F.col(truth).alias("_t"), F.explode_outer(prob).alias("class", "score"))
+    long = long.filter(F.col("class").isNotNull()).withColumn("y_true", F.when(F.col("_t") == F.col("class"), 1).otherwise(0))
     per_class = roc_auc(long, [*keys, "class"])
     # A class without positives has a NULL area, so it does not count here.
     whole = F.when(F.count("auc") == n_classes, F.avg("auc"))

@@ -58,7 +58,7 @@ def frequent_itemsets(
     # One pass for both counts: a NULL item in every basket counts the samples.
     marked = F.concat(F.array(F.lit(None).cast("string")), F.col("items"))
     counts = written(
-        baskets.select(F.explode(marked).alias("feature")).groupBy("feature").agg(F.count("*").alias("n")), "counts"
+        baskets.select(F.explode_outer(marked).alias("feature")).groupBy("feature").agg(F.count("*").alias("n")), "counts"
     )
     if n_samples is None:
         whole = counts.filter(F.col("feature").isNull()).first()
@@ -101,8 +101,10 @@ def frequent_itemsets(
             "codes",
             "weight",
             F.col("node").alias("parent"),
-            F.explode(F.array_intersect("next", "codes")).alias("item"),
-        )
+            # The outer form keeps the intersection from being computed twice
+            # (once more in an inferred "not empty" filter).
+            F.explode_outer(F.array_intersect("next", "codes")).alias("item"),
+        ).filter(F.col("item").isNotNull())
         counted = walk.groupBy("parent", "item").agg(F.sum("weight").alias("freq")).filter(F.col("freq") >= min_count)
         above = level.select(F.col("node").alias("parent"), F.col("codes").alias("stem"))
         level = written(

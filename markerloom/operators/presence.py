@@ -60,14 +60,25 @@ def baskets_from_long(samples: DataFrame, presence: DataFrame) -> DataFrame:
     return samples.join(items, "sample_id", "left").withColumn("items", F.coalesce("items", empty))
 
 
+def exploded(baskets: DataFrame, *columns: str | Column) -> DataFrame:
+    """One ``feature`` row per item, with the given columns.
+
+    A plain explode makes the optimizer add ``size(items) > 0`` below it, with
+    the whole expression behind ``items`` (tokenising, say) copied into the
+    filter. The outer form avoids the second evaluation.
+    """
+    rows = baskets.select(*columns, F.explode_outer("items").alias("feature"))
+    return rows.filter(F.col("feature").isNotNull())
+
+
 def to_long(baskets: DataFrame) -> DataFrame:
     """Baskets to ``sample_id, feature`` rows; a narrow step."""
-    return baskets.select("sample_id", F.explode("items").alias("feature"))
+    return exploded(baskets, "sample_id")
 
 
 def feature_counts(baskets: DataFrame) -> DataFrame:
     """How many samples hold each feature (G1)."""
-    return baskets.select(F.explode("items").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+    return exploded(baskets).groupBy("feature").agg(F.count("*").alias("n"))
 
 
 def class_counts(samples: DataFrame) -> DataFrame:
@@ -130,10 +141,8 @@ def feature_profile(baskets: DataFrame, catalogue: DataFrame | None = None) -> D
     all-absent columns; without it the order is by name.
     """
     profile = (
-        baskets.select(
-            F.explode("items").alias("feature"),
-            F.xxhash64("sample_id").alias("h1"),
-            F.xxhash64(F.lit("second"), "sample_id").alias("h2"),
+        exploded(
+            baskets, F.xxhash64("sample_id").alias("h1"), F.xxhash64(F.lit("second"), "sample_id").alias("h2")
         )
         .groupBy("feature")
         .agg(F.count("*").alias("n"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))

@@ -26,7 +26,7 @@ def association_rules(itemsets: DataFrame, min_confidence: float = 0.8) -> DataF
     supports = itemsets.select("itemset", "support")
     splits = (
         itemsets.filter(F.size("itemset") > 1)
-        .select(F.col("support"), F.explode(proper_splits(F.col("itemset"))).alias("split"))
+        .select(F.col("support"), F.explode_outer(proper_splits(F.col("itemset"))).alias("split"))
         .select("split.antecedent", "split.consequent", "support")
     )
     left = supports.select(F.col("itemset").alias("antecedent"), F.col("support").alias("support_a"))

@@ -10,6 +10,16 @@ from markerloom.operators.presence import baskets_from_long
 WORD = "[a-z]+"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of a few splits over all cores before costly row work.
+
+    A scan with fewer splits than cores holds at most cores x split size
+    bytes, so what this shuffles is bounded; a larger scan is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -20,7 +30,8 @@ def document_baskets(spark: SparkSession, folder: str) -> DataFrame:
     Built inside the row: no shuffle.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))
-    return table(spark, folder, "documents").select(
+    texts = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    return texts.select(
         F.col("doc_id").cast("string").alias("sample_id"),
         F.col("lang").alias("label"),
         F.array_distinct(words).alias("items"),
