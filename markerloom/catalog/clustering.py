@@ -160,12 +160,14 @@ MEAN = importance_ctes(
 
 @registry.add("importance_spread", f"WITH {SPREAD} SELECT feature, cluster, round(p_value, 6) AS p_value FROM importance")
 def _spread(spark, sf):
-    return clusters.local_importance(brand_clusters(spark, sf)).select("feature", "cluster", rounded("p_value"))
+    return clusters.local_importance(brand_clusters(spark, sf), statistic="spread").select(
+        "feature", "cluster", rounded("p_value")
+    )
 
 
 @registry.add("importance_mean", f"WITH {MEAN} SELECT feature, cluster, round(p_value, 6) AS p_value FROM importance")
 def _mean(spark, sf):
-    return clusters.local_importance(brand_clusters(spark, sf), statistic="mean").select("feature", "cluster", rounded("p_value"))
+    return clusters.local_importance(brand_clusters(spark, sf)).select("feature", "cluster", rounded("p_value"))
 
 
 LOGGED = """, logged AS (SELECT feature, cluster, p_value, -ln(greatest(p_value, 0.001::DOUBLE)) AS raw FROM importance)"""
@@ -173,7 +175,7 @@ LOGGED = """, logged AS (SELECT feature, cluster, p_value, -ln(greatest(p_value,
 
 @registry.add(
     "importance_log",
-    f"""WITH {SPREAD}{LOGGED} SELECT feature, cluster, round(p_value, 6) AS p_value,
+    f"""WITH {MEAN}{LOGGED} SELECT feature, cluster, round(p_value, 6) AS p_value,
     round(CASE WHEN max(raw) OVER w = 0 THEN 0 ELSE raw / max(raw) OVER w END, 6) AS log_importance FROM logged WINDOW w AS (PARTITION BY cluster)""",
 )
 def _log(spark, sf):
@@ -183,7 +185,7 @@ def _log(spark, sf):
 
 @registry.add(
     "importance_wide",
-    f"""WITH {SPREAD}{LOGGED}, scaled AS (SELECT feature, cluster, CASE WHEN max(raw) OVER w = 0 THEN 0 ELSE raw / max(raw) OVER w END AS v
+    f"""WITH {MEAN}{LOGGED}, scaled AS (SELECT feature, cluster, CASE WHEN max(raw) OVER w = 0 THEN 0 ELSE raw / max(raw) OVER w END AS v
       FROM logged WINDOW w AS (PARTITION BY cluster))
     SELECT feature, round(max(CASE WHEN cluster = 0 THEN v END), 6) AS cluster0_importance,
       round(max(CASE WHEN cluster = 1 THEN v END), 6) AS cluster1_importance FROM scaled GROUP BY feature""",
@@ -195,7 +197,7 @@ def _wide(spark, sf):
 
 @registry.add(
     "importance_filtered",
-    f"""WITH {SPREAD}, coi AS (
+    f"""WITH {MEAN}, coi AS (
       SELECT cluster, sum((target = '{TOI}')::INT) AS num_toi FROM clustered GROUP BY cluster ORDER BY num_toi DESC, cluster DESC LIMIT 1)
     SELECT DISTINCT CASE WHEN i.cluster = coi.cluster THEN 'target' ELSE 'non_target' END AS slice, feature
     FROM importance i, coi WHERE p_value <= 0.01""",

@@ -77,6 +77,8 @@ def at_least(k: int, draws: int, p: float) -> float:
 
 
 def _spread(k: int, draws: int, p: float) -> float:
+    if p <= 0.0 or p >= 1.0:
+        return 1.0
     edge = min(k, draws - k)
     return min(1.0, at_most(edge - 1, draws, p) + at_least(draws - edge + 1, draws, p))
 

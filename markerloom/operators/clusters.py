@@ -193,13 +193,14 @@ def chi_square_p(vectors: DataFrame, vocab: Sequence[str]) -> DataFrame:
     )
 
 
-def local_importance(clustered: DataFrame, clusters: Sequence[int] = CLUSTERS, statistic: str = "spread") -> DataFrame:
+def local_importance(clustered: DataFrame, clusters: Sequence[int] = CLUSTERS, statistic: str = "mean") -> DataFrame:
     """``feature, cluster, p_value`` for each feature and cluster (F8).
 
-    The library this replaces compares the cluster with many equally large
-    draws from all samples. For 0/1 features such a draw is binomial, so the
-    share it estimates has a closed form: ``spread`` asks how often a draw
-    varies less than the cluster, ``mean`` for a two-sided tail of the mean.
+    Resampling compares the cluster with many equally large draws from all
+    samples. For 0/1 features such a draw is binomial, so the share it
+    estimates has a closed form: ``mean`` is the two-sided tail of the
+    cluster's mean, ``spread`` the chance that a draw varies less than the
+    cluster does. A feature in every sample has p = 1.
     """
     if statistic not in ("spread", "mean"):
         raise ValueError("statistic must be 'spread' or 'mean'")

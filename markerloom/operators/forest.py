@@ -58,7 +58,9 @@ def forest_report(model: RandomForestClassificationModel, test: DataFrame) -> Da
 def with_split(vectors: DataFrame, test_size: float, seed: int) -> DataFrame:
     """Vectors with their stratified train/test mark, written once and read per fit."""
     marks = holdout_split(vectors.select("sample_id", F.col("encoded_class").cast("string").alias("label")), test_size, seed)
-    return written(vectors.join(marks.select("sample_id", "is_test"), "sample_id"), "split")
+    joined = vectors.join(marks.select("sample_id", "is_test"), "sample_id")
+    # A fixed row order per task keeps the bootstrap draws repeatable.
+    return written(joined.sortWithinPartitions("sample_id"), "split")
 
 
 def seed_scores(

@@ -217,7 +217,8 @@ def linear_fit(train: DataFrame, alpha: float, l1: float, sd_y: float, settings:
     """One penalised linear fit on ``x, y`` (V6).
 
     The target objective is sum of squares / (2n) + alpha * (l1 |b| + (1-l1)/2 b^2).
-    Spark divides its squared part by the outcome's SD, hence the conversion.
+    Spark divides its squared part by the outcome's (population) SD, hence the
+    conversion.
     """
     penalty = alpha * (l1 + sd_y * (1.0 - l1))
     model = LinearRegression(
@@ -366,7 +367,7 @@ def fit_linear(prepared: Prepared) -> NetFits:
         out = []
         for g in range(1, settings.inner_cv + 1):
             fitting, held = rows.filter(F.col("inner_fold") != g), rows.filter(F.col("inner_fold") == g)
-            sd_y = fitting.agg(F.stddev_samp("y")).first()[0]
+            sd_y = fitting.agg(F.stddev_pop("y")).first()[0]
             for start in range(0, len(grid), SCORED_TOGETHER):
                 scored = []
                 for alpha, l1 in grid[start : start + SCORED_TOGETHER]:
@@ -390,7 +391,7 @@ def fit_linear(prepared: Prepared) -> NetFits:
         train, held, _ = prepared.where(fit_id)
         rows = _scaled(prepared, stats, fit_id)
         fitting = rows.filter(train).select("y", "x")
-        sd_y = fitting.agg(F.stddev_samp("y")).first()[0]
+        sd_y = fitting.agg(F.stddev_pop("y")).first()[0]
         model = linear_fit(fitting, chosen[fit_id].best_alpha, chosen[fit_id].best_l1_ratio, sd_y, settings)
         model.transform(rows.filter(held)).select(
             "sample_id", F.col("y").alias("y_true"), F.col("prediction").alias("y_pred")

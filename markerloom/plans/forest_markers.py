@@ -96,7 +96,7 @@ def find_markers(
     max_depth: int = forest.MAX_DEPTH,
     saved_forest: str | None = None,
     medoid_candidates: int = 64,
-    importance_statistic: str = "spread",
+    importance_statistic: str = "mean",
     p_value: float = 0.001,
     min_support: float = 0.6,
     min_confidence: float = 0.8,
