@@ -7,12 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markerloom.operators.presence import class_counts
+from markerloom.operators.presence import class_counts, class_sizes
+
+__all__ = [
+    "class_sizes",
+    "guard_counts",
+    "require_binary",
+    "require_columns",
+    "require_features",
+    "require_label",
+    "require_multiclass",
+    "require_numeric",
+    "require_share",
+]
 
 MIN_PER_CLASS = 5
 MIN_CLASSES = 3
 BAD_IDS_SHOWN = 10
-CLASS_LIMIT = 10_000
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], what: str = "the input") -> None:
@@ -65,14 +76,6 @@ def require_binary(samples: DataFrame, toi: str) -> tuple[int, int]:
     return positives, negatives
 
 
-def class_sizes(samples: DataFrame) -> dict[str, int]:
-    """Label counts on the driver, sorted by label; one row per class."""
-    rows = class_counts(samples).limit(CLASS_LIMIT + 1).collect()
-    if len(rows) > CLASS_LIMIT:
-        raise ValueError("the label column has too many different values for a class label")
-    return {row.label: row.n for row in sorted(rows, key=lambda row: row.label)}
-
-
 def require_multiclass(sizes: dict[str, int]) -> None:
     if len(sizes) < MIN_CLASSES:
         raise ValueError(f"need at least {MIN_CLASSES} classes, found {len(sizes)}: {list(sizes)}")

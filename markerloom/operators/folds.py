@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markerloom.operators.presence import class_sizes
 from markerloom.operators.ranking import exact_rank, hash_bucket
 
 
@@ -61,9 +62,12 @@ def holdout_split(samples: DataFrame, test_size: float = 0.2, seed: int = 42) ->
     marked = base.withColumn("_digest", shuffle_key(seed, F.col("sample_id")))
     marked = marked.withColumn("_bucket", hash_bucket(F.col("_digest")))
     ranked = exact_rank(marked, ["label"], ["_bucket"], ["_digest", "sample_id"], "_rank")
-    sizes = base.groupBy("label").agg(F.count("*").alias("_n"))
-    taken = F.bround(F.col("_n") * F.lit(float(test_size)), 0)
-    return ranked.join(sizes, "label").select("sample_id", "label", (F.col("_rank") <= taken).alias("is_test"))
+    # Half-to-even, per class; the class list is checked, so it can be a literal.
+    taken = {label: round(n * test_size) for label, n in class_sizes(base).items()}
+    if not taken:
+        return base.withColumn("is_test", F.lit(False))
+    limits = F.create_map(*[F.lit(x) for pair in taken.items() for x in pair])
+    return ranked.select("sample_id", "label", (F.col("_rank") <= F.element_at(limits, F.col("label"))).alias("is_test"))
 
 
 def feature_half(features: DataFrame, fraction: float = 0.5, seed: int = 42) -> DataFrame:

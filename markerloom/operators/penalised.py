@@ -190,13 +190,14 @@ def balanced_weights(counts: dict[int, int]) -> dict[int, float]:
     return {c: total / (len(counts) * n) for c, n in counts.items()}
 
 
-def logistic_fit(train: DataFrame, c: float, l1: float, settings: NetSettings, family: str) -> LogisticRegressionModel:
+def logistic_fit(
+    train: DataFrame, c: float, l1: float, total: float, settings: NetSettings, family: str
+) -> LogisticRegressionModel:
     """One penalised logistic fit on ``x, y, weight`` (V4, V5).
 
     The penalised likelihood C * sum(w * loss) + penalty, divided by C * sum(w),
-    is Spark's objective with regParam = 1 / (C * sum(w)).
+    is Spark's objective with regParam = 1 / (C * sum(w)); ``total`` is sum(w).
     """
-    total = train.agg(F.sum("weight")).first()[0]
     model = LogisticRegression(
         featuresCol="x",
         labelCol="y",
@@ -246,26 +247,48 @@ def _stacked(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _class_counts(prepared: Prepared) -> dict[int, dict[int, int]]:
-    """Training rows per fit and class, all fits in one aggregate."""
-    rows = (
-        prepared.table.select(F.col("y").cast("int").alias("y"), F.posexplode("fold_of").alias("repeat", "fold"))
-        .groupBy("repeat", "fold", "y")
-        .agg(F.count("*").alias("n"))
-        .collect()
+def _cells(prepared: Prepared, *keys: str) -> DataFrame:
+    """Rows and outcome sums per (repeat, outer fold, inner fold), all fits in one aggregate."""
+    zipped = F.arrays_zip("fold_of", "inner_of")
+    return (
+        prepared.table.select("y", F.posexplode(zipped).alias("repeat", "f"))
+        .groupBy("repeat", F.col("f.fold_of").alias("fold"), F.col("f.inner_of").alias("inner_fold"), *keys)
+        .agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
     )
+
+
+def _class_counts(prepared: Prepared) -> dict[tuple[int, int], dict[int, int]]:
+    """Training rows per class for (fit, inner fold left out); 0 leaves none out."""
     splits = prepared.settings.outer_splits
-    out: dict[int, dict[int, int]] = {}
-    for fit_id in prepared.fits:
-        repeat, fold = divmod(fit_id - 1, splits)
-        train: dict[int, int] = {}
-        for row in rows:
-            if row.repeat == repeat and row.fold != fold + 1:
-                train[row.y] = train.get(row.y, 0) + row.n
-        out[fit_id] = train
+    out: dict[tuple[int, int], dict[int, int]] = {}
+    for row in _cells(prepared, "y").collect():
+        for fold in range(1, splits + 1):
+            if fold == row.fold:
+                continue
+            for g in range(prepared.settings.inner_cv + 1):
+                if g != row.inner_fold:
+                    train = out.setdefault((row.repeat * splits + fold, g), {})
+                    train[int(row.y)] = train.get(int(row.y), 0) + row.n
     return out
 
 
+def _outcome_sds(prepared: Prepared) -> dict[tuple[int, int], float]:
+    """Population SD of the outcome for (fit, inner fold left out); 0 leaves none out."""
+    splits = prepared.settings.outer_splits
+    sums: dict[tuple[int, int], list[float]] = {}
+    for row in _cells(prepared).collect():
+        for fold in range(1, splits + 1):
+            if fold == row.fold:
+                continue
+            for g in range(prepared.settings.inner_cv + 1):
+                if g != row.inner_fold:
+                    total = sums.setdefault((row.repeat * splits + fold, g), [0.0, 0.0, 0.0])
+                    total[0] += row.n
+                    total[1] += row.s
+                    total[2] += row.q
+    return {key: math.sqrt(max(q / n - (s / n) ** 2, 0.0)) for key, (n, s, q) in sums.items()}
+
+
 def _weighted(df: DataFrame, weights: dict[int, float]) -> DataFrame:
     weight = F.lit(1.0)
     for code, value in sorted(weights.items()):
@@ -294,30 +317,33 @@ def fit_logistic(prepared: Prepared, n_classes: int) -> NetFits:
     stats = written(training_stats(prepared), "scales")
     counts = _class_counts(prepared)
     grid = [(c, l1) for l1 in settings.l1_ratios for c in c_grid(settings.strengths)]
+    point = ["C", "l1_ratio", "g"]
 
     def inner_score(held: DataFrame) -> DataFrame:
         if n_classes == 2:
-            scored = held.select("C", "l1_ratio", F.col("y").alias("y_true"), _probability()[1].alias("score"))
-            return roc_auc(scored, ["C", "l1_ratio"]).withColumnRenamed("auc", "score")
+            scored = held.select(*point, F.col("y").alias("y_true"), _probability()[1].alias("score"))
+            return roc_auc(scored, point).withColumnRenamed("auc", "score")
         p_true = F.element_at(_probability(), F.col("y").cast("int") + 1)
-        losses = log_loss(held.select("C", "l1_ratio", p_true.alias("p_true")), ["C", "l1_ratio"])
-        return losses.select("C", "l1_ratio", (-F.col("log_loss")).alias("score"))
+        losses = log_loss(held.select(*point, p_true.alias("p_true")), point)
+        return losses.select(*point, (-F.col("log_loss")).alias("score"))
 
     def search(fit_id: int) -> list[tuple]:
         train, _, inner = prepared.where(fit_id)
         rows = _scaled(prepared, stats, fit_id).filter(train).select("y", "x", inner.alias("inner_fold"))
-        rows = _weighted(rows, balanced_weights(counts[fit_id])).persist(StorageLevel.MEMORY_AND_DISK)
+        weights = balanced_weights(counts[fit_id, 0])
+        rows = _weighted(rows, weights).persist(StorageLevel.MEMORY_AND_DISK)
+        tasks = [(g, c, l1) for g in range(1, settings.inner_cv + 1) for c, l1 in grid]
         out = []
-        for g in range(1, settings.inner_cv + 1):
-            fitting, held = rows.filter(F.col("inner_fold") != g), rows.filter(F.col("inner_fold") == g)
-            for start in range(0, len(grid), SCORED_TOGETHER):
-                scored = []
-                for c, l1 in grid[start : start + SCORED_TOGETHER]:
-                    model = logistic_fit(fitting, c, l1, settings, family)
-                    scored.append(
-                        model.transform(held).select("y", "probability", F.lit(c).alias("C"), F.lit(l1).alias("l1_ratio"))
-                    )
-                out += [(fit_id, r.C, r.l1_ratio, g, r.score) for r in inner_score(_stacked(scored)).collect()]
+        for start in range(0, len(tasks), SCORED_TOGETHER):
+            scored = []
+            for g, c, l1 in tasks[start : start + SCORED_TOGETHER]:
+                total = sum(weights[k] * n for k, n in counts[fit_id, g].items())
+                model = logistic_fit(rows.filter(F.col("inner_fold") != g), c, l1, total, settings, family)
+                held = model.transform(rows.filter(F.col("inner_fold") == g))
+                scored.append(
+                    held.select("y", "probability", F.lit(c).alias("C"), F.lit(l1).alias("l1_ratio"), F.lit(g).alias("g"))
+                )
+            out += [(fit_id, r.C, r.l1_ratio, r.g, r.score) for r in inner_score(_stacked(scored)).collect()]
         rows.unpersist()
         return out
 
@@ -330,8 +356,9 @@ def fit_logistic(prepared: Prepared, n_classes: int) -> NetFits:
     def refit(fit_id: int) -> None:
         train, held, _ = prepared.where(fit_id)
         rows = _scaled(prepared, stats, fit_id)
-        fitting = _weighted(rows.filter(train).select("y", "x"), balanced_weights(counts[fit_id]))
-        model = logistic_fit(fitting, chosen[fit_id].best_C, chosen[fit_id].best_l1_ratio, settings, family)
+        n_train = float(sum(counts[fit_id, 0].values()))  # balanced weights add up to the row count
+        fitting = _weighted(rows.filter(train).select("y", "x"), balanced_weights(counts[fit_id, 0]))
+        model = logistic_fit(fitting, chosen[fit_id].best_C, chosen[fit_id].best_l1_ratio, n_train, settings, family)
         probability = _probability()
         model.transform(rows.filter(held)).select(
             "sample_id",
@@ -358,26 +385,28 @@ def fit_linear(prepared: Prepared) -> NetFits:
     stats = written(training_stats(prepared), "scales")
     tops = stats.groupBy("fit_id").agg(F.max(F.abs("score_y") / F.col("n_train").cast("double")).alias("top"))
     alpha_top = {row.fit_id: row.top for row in tops.collect()}
+    sds = _outcome_sds(prepared)
 
     def search(fit_id: int) -> list[tuple]:
         train, _, inner = prepared.where(fit_id)
         rows = _scaled(prepared, stats, fit_id).filter(train).select("y", "x", inner.alias("inner_fold"))
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         grid = [(a, l1) for l1 in settings.l1_ratios for a in alpha_path(alpha_top[fit_id] / l1, settings.strengths)]
+        tasks = [(g, alpha, l1) for g in range(1, settings.inner_cv + 1) for alpha, l1 in grid]
         out = []
-        for g in range(1, settings.inner_cv + 1):
-            fitting, held = rows.filter(F.col("inner_fold") != g), rows.filter(F.col("inner_fold") == g)
-            sd_y = fitting.agg(F.stddev_pop("y")).first()[0]
-            for start in range(0, len(grid), SCORED_TOGETHER):
-                scored = []
-                for alpha, l1 in grid[start : start + SCORED_TOGETHER]:
-                    model = linear_fit(fitting, alpha, l1, sd_y, settings)
-                    scored.append(
-                        model.transform(held).select("y", "prediction", F.lit(alpha).alias("alpha"), F.lit(l1).alias("l1_ratio"))
+        for start in range(0, len(tasks), SCORED_TOGETHER):
+            scored = []
+            for g, alpha, l1 in tasks[start : start + SCORED_TOGETHER]:
+                model = linear_fit(rows.filter(F.col("inner_fold") != g), alpha, l1, sds[fit_id, g], settings)
+                held = model.transform(rows.filter(F.col("inner_fold") == g))
+                scored.append(
+                    held.select(
+                        "y", "prediction", F.lit(alpha).alias("alpha"), F.lit(l1).alias("l1_ratio"), F.lit(g).alias("g")
                     )
-                miss = F.col("y") - F.col("prediction")
-                errors = _stacked(scored).groupBy("alpha", "l1_ratio").agg(F.avg(miss * miss).alias("mse"))
-                out += [(fit_id, r.alpha, r.l1_ratio, g, r.mse) for r in errors.collect()]
+                )
+            miss = F.col("y") - F.col("prediction")
+            errors = _stacked(scored).groupBy("alpha", "l1_ratio", "g").agg(F.avg(miss * miss).alias("mse"))
+            out += [(fit_id, r.alpha, r.l1_ratio, r.g, r.mse) for r in errors.collect()]
         rows.unpersist()
         return out
 
@@ -391,8 +420,8 @@ def fit_linear(prepared: Prepared) -> NetFits:
         train, held, _ = prepared.where(fit_id)
         rows = _scaled(prepared, stats, fit_id)
         fitting = rows.filter(train).select("y", "x")
-        sd_y = fitting.agg(F.stddev_pop("y")).first()[0]
-        model = linear_fit(fitting, chosen[fit_id].best_alpha, chosen[fit_id].best_l1_ratio, sd_y, settings)
+        best_alpha, best_l1 = chosen[fit_id].best_alpha, chosen[fit_id].best_l1_ratio
+        model = linear_fit(fitting, best_alpha, best_l1, sds[fit_id, 0], settings)
         model.transform(rows.filter(held)).select(
             "sample_id", F.col("y").alias("y_true"), F.col("prediction").alias("y_pred")
         ).write.parquet(f"{predictions_path}/fit_id={fit_id}")

@@ -20,6 +20,7 @@ from markerloom.functions.cells import is_present
 # A vocabulary is shipped to every task (and a model's coefficients to the
 # driver), so its length is checked; it never grows with the samples.
 VOCABULARY_LIMIT = 1 << 20
+CLASS_LIMIT = 10_000
 
 
 def _quoted(name: str) -> Column:
@@ -126,9 +127,22 @@ def label_codes(samples: DataFrame) -> DataFrame:
     return ordered.select(F.posexplode("labels").alias("encoded_class", "label"))
 
 
-def encode_labels(samples: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """Attach ``encoded_class`` to every sample."""
-    return samples.join(label_codes(samples) if codes is None else codes, "label")
+def class_sizes(samples: DataFrame) -> dict[str, int]:
+    """Label counts on the driver, sorted by label; the number of classes is checked."""
+    rows = class_counts(samples).limit(CLASS_LIMIT + 1).collect()
+    if len(rows) > CLASS_LIMIT:
+        raise ValueError("the label column has too many different values for a class label")
+    return {row.label: row.n for row in sorted(rows, key=lambda row: row.label)}
+
+
+def encode_labels(samples: DataFrame) -> DataFrame:
+    """Attach ``encoded_class`` to every sample.
+
+    The checked label list is a literal, so no join on the label is needed and
+    a label that holds most rows causes no skew.
+    """
+    labels = F.lit(list(class_sizes(samples)))
+    return samples.withColumn("encoded_class", (F.array_position(labels, F.col("label")) - 1).cast("int"))
 
 
 def feature_profile(baskets: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from markerloom.session import written
+
 
 def _offsets(sized: DataFrame, keys: Sequence[str], buckets: Sequence[str], totals: Sequence[str]) -> DataFrame:
     below = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
@@ -57,7 +59,9 @@ def sum_below(
     """
     shares = [i / cuts for i in range(cuts + 1)]
     bounds = df.groupBy(*keys).agg(F.percentile_approx(value, shares, 10_000).alias("_cuts"))
-    placed = df.join(bounds, list(keys))
+    # Written, so that the planner knows its size: it is broadcast when small,
+    # and one group with most rows is then never gathered in one task.
+    placed = df.join(written(bounds, "bounds"), list(keys))
     # Index of the last cut at or below the value; values outside are clamped.
     slot = F.greatest(F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(1))
     low = F.element_at("_cuts", slot)

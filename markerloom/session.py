@@ -43,7 +43,9 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/markerloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path per table, below one folder per application for easy removal."""
+    app = spark.sparkContext.applicationId
+    return f"{scratch_dir(spark).rstrip('/')}/markerloom/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

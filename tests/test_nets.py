@@ -64,7 +64,7 @@ def test_logistic_penalty_parity(spark, c, l1):
     assert w.sum() == pytest.approx(len(y))
     rows = [(Vectors.dense(a / x.std(0)), float(b), float(v)) for a, b, v in zip(x, y, w)]
     df = spark.createDataFrame(rows, ["x", "y", "weight"])
-    model = penalised.logistic_fit(df, c, l1, EXACT, "binomial")
+    model = penalised.logistic_fit(df, c, l1, float(len(y)), EXACT, "binomial")
     mine = model.coefficients.toArray()
     assert mine == pytest.approx(proximal(x, y, w, c, l1), abs=2e-4)
 
