@@ -161,6 +161,7 @@ def chi_square(clustered: DataFrame) -> DataFrame:
     2 x k table is N^2 (S - n^2/N) / (n (N - n)), so absent cells are not
     needed. NULL for a feature in every sample.
     """
+    clustered = clustered.filter(F.col("cluster").isNotNull())
     sizes = cluster_sizes(clustered)
     total = sizes.agg(F.sum("size").cast("double").alias("everyone")).withColumn("_one", F.lit(1))
     sums = (
@@ -204,6 +205,7 @@ def local_importance(clustered: DataFrame, clusters: Sequence[int] = CLUSTERS, s
     """
     if statistic not in ("spread", "mean"):
         raise ValueError("statistic must be 'spread' or 'mean'")
+    clustered = clustered.filter(F.col("cluster").isNotNull())
     tail = binomial_spread_p if statistic == "spread" else binomial_two_sided_p
     cells = F.array(
         *[
@@ -218,7 +220,7 @@ def local_importance(clustered: DataFrame, clusters: Sequence[int] = CLUSTERS, s
         .select("feature", "n", F.explode("cells").alias("c"))
         .select("feature", "n", "c.cluster", "c.k")
     )
-    sizes = cluster_sizes(clustered).filter(F.col("cluster").isNotNull())
+    sizes = cluster_sizes(clustered)
     total = sizes.agg(F.sum("size").alias("total")).withColumn("_one", F.lit(1))
     joined = counts.join(F.broadcast(sizes), "cluster").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
     share = F.col("n") / F.col("total").cast("double")

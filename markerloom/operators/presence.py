@@ -229,11 +229,15 @@ def item_codes(baskets: DataFrame, vocab: Sequence[str], column: str = "codes")
     return encoded.withColumn(column, F.unwrap_udt("_vector").getField("indices")).drop("_vector")
 
 
+def vector_items(column: str, vocab: Sequence[str]) -> Column:
+    """Names of the non-zero positions of a 0/1 vector over ``vocab``."""
+    names = F.lit(list(vocab))
+    return F.transform(F.unwrap_udt(column).getField("indices"), lambda code: F.element_at(names, code + 1))
+
+
 def restrict_items(baskets: DataFrame, vocab: Sequence[str]) -> DataFrame:
     """Baskets holding only features of ``vocab``."""
     if not vocab:
         return baskets.withColumn("items", F.array().cast(T.ArrayType(T.StringType())))
-    names = F.lit(list(vocab))
-    coded = item_codes(baskets, vocab)
-    kept = F.transform("codes", lambda code: F.element_at(names, code + 1))
-    return coded.withColumn("items", kept).drop("codes")
+    encoded = encode_items(baskets, vocab, "_vector")
+    return encoded.withColumn("items", vector_items("_vector", vocab)).drop("_vector")

@@ -29,6 +29,10 @@ TABLES = {
     "markers": "filtered_rules",
     "groups": "biomarker_groups",
     "annotations": "orthog_gene_names",
+    "medoids": "medoids",
+    "composition": "cluster_composition",
+    "global_association": "global_association",
+    "metric_range": "rule_metric_range",
     "importance": "importance",
     "forest_importance": "important_features",
     "report": "forest_report",
@@ -47,6 +51,10 @@ class ForestMarkers:
     features: DataFrame
     groups: DataFrame
     clusters: DataFrame | None = None
+    medoids: DataFrame | None = None
+    composition: DataFrame | None = None
+    global_association: DataFrame | None = None
+    metric_range: DataFrame | None = None
     importance: DataFrame | None = None
     forest_importance: DataFrame | None = None
     report: DataFrame | None = None
@@ -95,6 +103,7 @@ def find_markers(
     trees: int = 100,
     max_depth: int = forest.MAX_DEPTH,
     saved_forest: str | None = None,
+    saved_clusters: DataFrame | None = None,
     medoid_candidates: int = 64,
     importance_statistic: str = "mean",
     p_value: float = 0.001,
@@ -114,7 +123,8 @@ def find_markers(
 ) -> ForestMarkers:
     """``baskets(sample_id, label, items)`` to marker rules and groups.
 
-    ``seeds`` skips the seed search, ``saved_forest`` the fit, and
+    ``seeds`` skips the seed search, ``saved_forest`` the fit,
+    ``saved_clusters(sample_id, cluster)`` the clustering, and
     ``saved_itemsets`` (target, non-target) the mining. ``catalogue`` is the
     feature order of a wide table.
     """
@@ -129,8 +139,12 @@ def find_markers(
     vocab = presence.vocabulary(presence.prune_features(baskets, low, high, catalogue))
     checks.require_features(vocab)
     codes = list(sizes)
-    coded = presence.encode_items(presence.restrict_items(baskets, vocab), vocab).withColumn(
-        "encoded_class", (F.array_position(F.lit(codes), F.col("label")) - 1).cast("double")
+    coded = presence.encode_items(baskets, vocab).select(
+        "sample_id",
+        "label",
+        "features",
+        presence.vector_items("features", vocab).alias("items"),
+        (F.array_position(F.lit(codes), F.col("label")) - 1).cast("double").alias("encoded_class"),
     )
     vectors = written(coded, "vectors")
 
@@ -155,9 +169,13 @@ def find_markers(
             "class", F.element_at(labels, F.col("class") + 1)
         )
 
-    leaves = written(clusters.leaf_arrays(model.transform(vectors)), "leaves")
-    medoids = clusters.choose_medoids(leaves, medoid_candidates)
-    assigned = clusters.assign_clusters(leaves, medoids)
+    medoids = None
+    if saved_clusters is None:
+        leaves = written(clusters.leaf_arrays(model.transform(vectors)), "leaves")
+        medoids = clusters.choose_medoids(leaves, medoid_candidates)
+        assigned = clusters.assign_clusters(leaves, medoids)
+    else:
+        assigned = saved_clusters.select("sample_id", "cluster")
     clustered = written(
         clusters.label_clusters(vectors, assigned).join(vectors.select("sample_id", "items"), "sample_id"), "clustered"
     )
@@ -189,6 +207,10 @@ def find_markers(
         found = rules.association_rules(itemsets, min_confidence)
         return written(rules.collapse_rules(rules.filter_rules(found, lift, **shared)), name)
 
+    def ranges(itemsets: DataFrame, slice_name: str) -> DataFrame:
+        bounds = rules.metric_range(rules.association_rules(itemsets, min_confidence))
+        return bounds.select(F.lit(slice_name).alias("slice"), "*")
+
     target_rules = marker_table(target_items, min_lift, "target_rules")
     other_rules = marker_table(other_items, others_lift, "other_rules")
     params = results.parameters(
@@ -217,6 +239,11 @@ def find_markers(
     )
     out = resume_from_rules(target_rules, other_rules, max_biomk=max_biomk, top_groups=top_groups, params=params)
     out.clusters = clustered.select("sample_id", "target", "cluster")
+    out.composition = clusters.composition(clustered, codes)
+    out.global_association = clusters.chi_square(clustered)
+    out.metric_range = ranges(target_items, "target").unionByName(ranges(other_items, "non_target"))
+    if medoids is not None:
+        out.medoids = spark.createDataFrame(medoids, "sample_id string, leaves array<int>")
     out.importance = importance
     out.forest_importance = forest.top_features(forest.feature_importance(model, vocab, spark))
     out.report = report
@@ -259,9 +286,20 @@ def find_markers_in_tsv(
     predictors: Sequence[str] | None = None,
     remove: Sequence[str] | None = None,
     annotation_path: str | None = None,
+    out: str | None = None,
+    force: bool = False,
     **options: object,
 ) -> ForestMarkers:
-    """The job on a wide presence TSV, with an optional annotation TSV."""
+    """The job on a wide presence TSV, with an optional annotation TSV.
+
+    With ``out`` the tables are saved there; a used folder is refused before
+    any work unless ``force`` is given (K4).
+    """
+    if out is not None:
+        results.require_free(spark, out, force)
     baskets, order = tsv.read_presence(spark, path, id_col, targets_col, include=predictors, exclude=remove)
     annotations = tsv.read_annotation(spark, annotation_path) if annotation_path else None
-    return find_markers(baskets, toi, catalogue=order, annotations=annotations, **options)
+    found = find_markers(baskets, toi, catalogue=order, annotations=annotations, **options)
+    if out is not None:
+        found.save(out, force)
+    return found

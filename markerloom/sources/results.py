@@ -14,6 +14,14 @@ def save_table(df: DataFrame, path: str, force: bool = False) -> None:
     df.write.mode("overwrite" if force else "errorifexists").parquet(path)
 
 
+def require_free(spark: SparkSession, out: str, force: bool = False) -> None:
+    """Refuse an output folder that already holds a run, unless forced (K4)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/parameters")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not force and system.exists(path):
+        raise FileExistsError(f"{out} already holds results; choose another folder or force")
+
+
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

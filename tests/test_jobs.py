@@ -102,6 +102,22 @@ def test_saved_forest_and_itemsets_resume(found, spark, tmp_path):
     )
     assert again.clusters.exceptAll(found.clusters).isEmpty()
     assert again.markers.exceptAll(found.markers).isEmpty()
+    assert again.medoids.collect() == found.medoids.collect()
+
+
+def test_saved_clusters_resume(found, spark, tmp_path):
+    path = str(tmp_path / "forest")
+    forest.save_forest(found.forest, path)
+    table = spark.createDataFrame(planted_rows(), SCHEMA)
+    # The label itself as a saved clustering.
+    saved = table.selectExpr("sample_id", "cast(label = 'level_2' as int) as cluster")
+    again = find_markers(table, "level_2", saved_forest=path, saved_clusters=saved, max_biomk=2, **LOOSE)
+    cells = {(r.cluster, r.target): r["size"] for r in again.composition.collect()}
+    assert cells[1, "level_2"] == 100 and cells[0, "level_2"] == 0
+    assert again.medoids is None and not again.markers.isEmpty()
+    assert {r["slice"] for r in again.metric_range.collect()} == {"target", "non_target"}
+    top = again.global_association.orderBy(F.desc("chi2")).first()
+    assert top.feature.startswith("OGtag")
 
 
 def test_wide_tsv_with_annotation(spark, tmp_path):
@@ -118,10 +134,13 @@ def test_wide_tsv_with_annotation(spark, tmp_path):
     )
     out = find_markers_in_tsv(
         spark, str(table), "sample", "target", "level_2", annotation_path=str(notes), remove=["OG000"],
-        max_biomk=2, **LOOSE, **QUICK,
+        max_biomk=2, out=str(tmp_path / "run"), **LOOSE, **QUICK,
     )
     got = {r.Orthogroup: r["Annotation(s)"] for r in out.annotations.collect()}
     assert got and all(v == f"protein {k}" for k, v in got.items())
+    assert results.load_table(spark, str(tmp_path / "run" / "filtered_rules")).count() == out.markers.count()
+    with pytest.raises(FileExistsError):
+        find_markers_in_tsv(spark, str(table), "sample", "target", "level_2", out=str(tmp_path / "run"))
     with pytest.raises(ValueError, match="not one of the labels"):
         find_markers_in_tsv(spark, str(table), "sample", "target", "level_9")
 
