@@ -122,6 +122,16 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster").agg(F.count("*").alias("size"))
 
 
+def size_map(clusters: DataFrame) -> dict[int, int]:
+    """Cluster sizes on the driver; there are two clusters."""
+    return {row.cluster: row["size"] for row in cluster_sizes(clusters).collect()}
+
+
+def size_of(sizes: dict[int, int]) -> Column:
+    """Size of the row's cluster, from literals instead of a join."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair]), F.col("cluster"))
+
+
 def cluster_of_interest(clusters: DataFrame, toi: str) -> DataFrame:
     """The cluster with most target rows, ties to the larger number.
 
@@ -162,20 +172,16 @@ def chi_square(clustered: DataFrame) -> DataFrame:
     needed. NULL for a feature in every sample.
     """
     clustered = clustered.filter(F.col("cluster").isNotNull())
-    sizes = cluster_sizes(clustered)
-    total = sizes.agg(F.sum("size").cast("double").alias("everyone")).withColumn("_one", F.lit(1))
+    sizes = size_map(clustered)
+    if not sizes:
+        return clustered.sparkSession.createDataFrame([], "feature string, chi2 double")
+    seen = F.col("k").cast("double")
     sums = (
         cluster_feature_counts(clustered)
-        .join(F.broadcast(sizes), "cluster")
         .groupBy("feature")
-        .agg(
-            F.sum("k").cast("double").alias("n"),
-            F.sum(F.col("k").cast("double") * F.col("k") / F.col("size")).alias("S"),
-        )
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(total), "_one")
+        .agg(F.sum(seen).alias("n"), F.sum(seen * seen / size_of(sizes)).alias("S"))
     )
-    n, everyone, s = F.col("n"), F.col("everyone"), F.col("S")
+    n, everyone, s = F.col("n"), F.lit(float(sum(sizes.values()))), F.col("S")
     value = everyone * everyone * (s - n * n / everyone) / F.nullif(n * (everyone - n), F.lit(0.0))
     return sums.select("feature", value.alias("chi2"))
 
@@ -220,13 +226,11 @@ def local_importance(clustered: DataFrame, clusters: Sequence[int] = CLUSTERS, s
         .select("feature", "n", F.explode("cells").alias("c"))
         .select("feature", "n", "c.cluster", "c.k")
     )
-    sizes = cluster_sizes(clustered)
-    total = sizes.agg(F.sum("size").alias("total")).withColumn("_one", F.lit(1))
-    joined = counts.join(F.broadcast(sizes), "cluster").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-    share = F.col("n") / F.col("total").cast("double")
-    return joined.select(
-        "feature", "cluster", tail(F.col("k"), F.col("size"), share).alias("p_value")
-    )
+    sizes = size_map(clustered)
+    share = F.col("n") / F.lit(float(sum(sizes.values())))
+    present = counts.filter(F.col("cluster").isin(*sizes))
+    draws = size_of(sizes) if sizes else F.lit(0)
+    return present.select("feature", "cluster", tail(F.col("k"), draws, share).alias("p_value"))
 
 
 def log_importance(importance: DataFrame, bootstraps: int = BOOTSTRAPS) -> DataFrame:

@@ -75,11 +75,7 @@ def feature_half(features: DataFrame, fraction: float = 0.5, seed: int = 42) ->
     marked = features.select("feature").withColumn("_digest", shuffle_key(seed, F.col("feature")))
     marked = marked.withColumn("_bucket", hash_bucket(F.col("_digest")))
     ranked = exact_rank(marked, [], ["_bucket"], ["_digest", "feature"], "_rank")
-    total = features.agg(F.count("*").alias("_n"))
-    wanted = F.bround(F.col("_n") * F.lit(float(fraction)), 0)
-    # One-row total joined on a constant key: broadcast of a single row.
-    ranked = ranked.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-    return ranked.filter(F.col("_rank") <= wanted).select("feature")
+    return ranked.filter(F.col("_rank") <= round(features.count() * fraction)).select("feature")
 
 
 def fold_sizes(folds: DataFrame, toi: str | None = None) -> DataFrame:
