@@ -11,7 +11,7 @@ DIGITS = 6
 
 BRANDS = """
 samples AS (SELECT CAST(c_custkey AS VARCHAR) AS sample_id, c_mktsegment AS label FROM customer),
-presence AS (
+presence AS MATERIALIZED (
   SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS sample_id, p_brand AS feature
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
   WHERE o_custkey IN (SELECT c_custkey FROM customer))
@@ -19,7 +19,7 @@ presence AS (
 
 WORDS = """
 samples AS (SELECT CAST(doc_id AS VARCHAR) AS sample_id, lang AS label FROM documents),
-presence AS (
+presence AS MATERIALIZED (
   SELECT DISTINCT CAST(doc_id AS VARCHAR) AS sample_id,
          unnest(regexp_extract_all(lower(text), '[a-z]+')) AS feature
   FROM documents)

@@ -17,8 +17,8 @@ def itemset_ctes(where: str, support: float, max_len: int, prefix: str = "") ->
     p = prefix
     parts = [
         f"{p}n AS (SELECT count(*) AS total, ceil({support}::DOUBLE * count(*)) AS needed FROM samples WHERE {where})",
-        f"{p}mine AS (SELECT p.sample_id, p.feature FROM presence p JOIN samples s ON p.sample_id = s.sample_id WHERE {where})",
-        f"""{p}often AS (SELECT * FROM {p}mine WHERE feature IN
+        f"{p}mine AS MATERIALIZED (SELECT p.sample_id, p.feature FROM presence p JOIN samples s ON p.sample_id = s.sample_id WHERE {where})",
+        f"""{p}often AS MATERIALIZED (SELECT * FROM {p}mine WHERE feature IN
             (SELECT feature FROM {p}mine, {p}n GROUP BY feature, needed HAVING count(*) >= needed))""",
     ]
     selects = []
@@ -28,11 +28,11 @@ def itemset_ctes(where: str, support: float, max_len: int, prefix: str = "") ->
             f" JOIN {p}often t{i} ON t{i}.sample_id = t{i - 1}.sample_id AND t{i}.feature > t{i - 1}.feature" for i in range(1, k)
         )
         items = "[" + ", ".join(f"{t}.feature" for t in names) + "]"
-        parts.append(f"{p}level{k} AS (SELECT {items} AS items, count(*) AS freq FROM {tables_} GROUP BY items)")
+        parts.append(f"{p}level{k} AS MATERIALIZED (SELECT {items} AS items, count(*) AS freq FROM {tables_} GROUP BY items)")
         selects.append(f"SELECT items, freq FROM {p}level{k}")
     union = " UNION ALL ".join(selects)
     parts.append(
-        f"{p}itemsets AS (SELECT items, freq, freq / total::DOUBLE AS support FROM ({union}), {p}n WHERE freq >= needed)"
+        f"{p}itemsets AS MATERIALIZED (SELECT items, freq, freq / total::DOUBLE AS support FROM ({union}), {p}n WHERE freq >= needed)"
     )
     return ",\n".join(parts)
 

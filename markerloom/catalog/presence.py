@@ -172,7 +172,7 @@ def _restricted(spark, sf):
 def _zero_filled(spark, sf):
     baskets = tables.brand_baskets(spark, sf)
     vocab = presence.vocabulary(presence.feature_counts(baskets))
-    names = F.lit(vocab)
+    names = presence.names_literal(vocab)
     vectors = presence.encode_items(baskets, vocab)
     return vectors.select("sample_id", F.posexplode(vector_to_array("features")).alias("code", "value")).select(
         "sample_id", F.element_at(names, F.col("code") + 1).alias("feature"), "value"

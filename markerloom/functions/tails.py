@@ -36,8 +36,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             step = d * c
             total *= step
         if abs(step - 1.0) < 1e-14:
-            break
-    return total
+            return total
+    raise ArithmeticError(f"the tail for a={a}, b={b}, x={x} did not converge")
 
 
 def _beta_share(a: float, b: float, x: float) -> float:

@@ -19,6 +19,7 @@ __all__ = [
     "require_multiclass",
     "require_numeric",
     "require_share",
+    "require_unique_ids",
 ]
 
 MIN_PER_CLASS = 5
@@ -45,6 +46,14 @@ def require_share(test_size: float) -> None:
         raise ValueError("test_size must be between 0 and 1")
 
 
+def require_unique_ids(samples: DataFrame) -> None:
+    """Every job joins by sample id, so a repeated or missing id is an error that names some."""
+    counts = samples.groupBy("sample_id").agg(F.count("*").alias("n"))
+    bad = counts.filter((F.col("n") > 1) | F.col("sample_id").isNull()).limit(BAD_IDS_SHOWN).collect()
+    if bad:
+        raise ValueError(f"sample ids must be present and differ; look at {sorted(str(row.sample_id) for row in bad)}")
+
+
 def require_features(names: Sequence[str]) -> None:
     if not names:
         raise ValueError("no feature column found")
@@ -72,13 +81,15 @@ def require_binary(samples: DataFrame, toi: str) -> tuple[int, int]:
     row = guard_counts(samples, toi).first()
     positives, negatives = int(row.positives or 0), int(row.negatives or 0)
     if not row.binary_ok:
-        raise ValueError(f"too few samples for classification: positives={positives}, negatives={negatives}")
+        raise ValueError(
+            f"'{toi}' has {positives} samples and all other labels {negatives}; each side needs at least {MIN_PER_CLASS}"
+        )
     return positives, negatives
 
 
 def require_multiclass(sizes: dict[str, int]) -> None:
     if len(sizes) < MIN_CLASSES:
-        raise ValueError(f"need at least {MIN_CLASSES} classes, found {len(sizes)}: {list(sizes)}")
+        raise ValueError(f"this net is for {MIN_CLASSES} labels or more; the samples carry {', '.join(map(repr, sizes)) or 'none'}")
 
 
 def require_numeric(outcomes: DataFrame) -> None:

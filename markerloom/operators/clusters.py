@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.functions.tails import binomial_spread_p, binomial_two_sided_p
-from markerloom.operators.presence import exploded
+from markerloom.operators.presence import exploded, names_literal
 
 BOOTSTRAPS = 1000
 CLUSTERS = (0, 1)
@@ -192,7 +192,7 @@ def chi_square_p(vectors: DataFrame, vocab: Sequence[str]) -> DataFrame:
     ``vectors(features, cluster)``; one row per feature.
     """
     tested = ChiSquareTest.test(vectors.select("features", F.col("cluster").cast("double").alias("cluster")), "features", "cluster", True)
-    names = F.lit(list(vocab))
+    names = names_literal(vocab)
     return tested.select(
         F.element_at(names, F.col("featureIndex") + 1).alias("feature"),
         F.col("statistic").alias("chi2"),

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markerloom.operators.folds import holdout_split
@@ -14,17 +14,33 @@ from markerloom.operators.metrics import class_report, multiclass_scores
 from markerloom.operators.stability import choose_seeds
 from markerloom.session import written
 
+active_session = SparkSession.getActiveSession
+
 # Spark's depth limit; the forest this replaces has none.
 MAX_DEPTH = 30
 
 
+def as_presence(vectors: DataFrame, column: str = "features") -> DataFrame:
+    """Marks every position of a 0/1 vector column as a category with the values 0 and 1.
+
+    For plain numbers Spark takes split points from a sample of the rows, and a
+    feature that is constant in the sample can never be split on. Categories
+    need no split points, so every row counts.
+    """
+    first = vectors.select(column).head()
+    size = first[0].size if first else 0
+    attributes = {"nominal": [{"idx": i, "vals": ["0", "1"]} for i in range(size)]}
+    return vectors.withMetadata(column, {"ml_attr": {"attrs": attributes, "num_attrs": size}})
+
+
 def fit_forest(
-    vectors: DataFrame, seed: int = 0, trees: int = 100, max_depth: int = MAX_DEPTH
+    vectors: DataFrame, seed: int = 0, trees: int = 100, max_depth: int = MAX_DEPTH, min_instances: int = 1
 ) -> RandomForestClassificationModel:
     """Gini forest with sqrt features per split and bootstrap rows (F2).
 
-    ``vectors(features, encoded_class)``; all features are 0/1, so two bins
-    are exact and keep the split statistics small.
+    ``vectors(features, encoded_class)``; all features are 0/1 categories, so
+    two bins are exact. A deep forest with ``min_instances=1`` grows with the
+    rows and lives on the driver; raise it for very many samples.
     """
     forest = RandomForestClassifier(
         labelCol="encoded_class",
@@ -34,13 +50,14 @@ def fit_forest(
         numTrees=trees,
         maxDepth=max_depth,
         maxBins=2,
+        minInstancesPerNode=min_instances,
         impurity="gini",
         featureSubsetStrategy="sqrt",
         bootstrap=True,
         seed=seed,
         maxMemoryInMB=1024,
     )
-    return forest.fit(vectors)
+    return forest.fit(as_presence(vectors))
 
 
 def predict(model: RandomForestClassificationModel, vectors: DataFrame) -> DataFrame:
@@ -65,8 +82,8 @@ def with_split(vectors: DataFrame, test_size: float, seed: int) -> DataFrame:
 
 def seed_scores(
     vectors: DataFrame,
-    split_seeds: Iterable[int] = range(5),
-    model_seeds: Sequence[int] = tuple(range(5)),
+    split_seeds: Iterable[int] = range(50),
+    model_seeds: Sequence[int] = tuple(range(50)),
     test_size: float = 0.2,
     parallelism: int = 4,
     **forest: int,
@@ -74,7 +91,7 @@ def seed_scores(
     """Scores of one fit per (split seed, model seed) pair.
 
     Fits are independent and each is distributed; a small pool keeps the
-    cluster busy between them. The full search is ``range(50)`` on both.
+    cluster busy between them. The default is the full search of 2,500 fits.
     """
 
     def score(split: DataFrame, i: int, j: int) -> tuple:
@@ -109,9 +126,22 @@ def top_features(importance: DataFrame, n: int = 50) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def save_forest(model: RandomForestClassificationModel, path: str, force: bool = False) -> None:
-    (model.write().overwrite() if force else model.write()).save(path)
-
-
-def load_forest(path: str) -> RandomForestClassificationModel:
-    return RandomForestClassificationModel.load(path)
+def save_forest(
+    model: RandomForestClassificationModel, path: str, vocab: Sequence[str], classes: Sequence[str], force: bool = False
+) -> None:
+    """The model, and beside it the features and classes its positions stand for (K3)."""
+    (model.write().overwrite() if force else model.write()).save(f"{path.rstrip('/')}/model")
+    named = [("feature", i, name) for i, name in enumerate(vocab)] + [("class", i, name) for i, name in enumerate(classes)]
+    table = active_session().createDataFrame(named, "kind string, position int, name string")
+    table.coalesce(1).write.mode("overwrite" if force else "errorifexists").parquet(f"{path.rstrip('/')}/names")
+
+
+def load_forest(path: str, vocab: Sequence[str], classes: Sequence[str]) -> RandomForestClassificationModel:
+    """A saved forest; features or classes other than those it was fitted on are an error (K3)."""
+    rows = active_session().read.parquet(f"{path.rstrip('/')}/names").orderBy("position").collect()
+    for kind, given in (("feature", list(vocab)), ("class", list(classes))):
+        known = [row.name for row in rows if row.kind == kind]
+        if known != given:
+            differ = sorted(set(known) ^ set(given))[:5]
+            raise ValueError(f"the saved forest was fitted on other {kind} names, for example {differ or 'in another order'}")
+    return RandomForestClassificationModel.load(f"{path.rstrip('/')}/model")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markerloom.operators.presence import item_codes
+from markerloom.operators.presence import item_codes, names_literal
 from markerloom.session import written
 
 ITEMSET_SCHEMA = "itemset array<string>, length int, freq bigint, support double"
@@ -122,7 +122,7 @@ def frequent_itemsets(
     found = levels[0].select("codes", "freq")
     for later in levels[1:]:
         found = found.unionByName(later.select("codes", "freq"))
-    lookup = F.lit(names)
+    lookup = names_literal(names)
     return found.select(
         F.array_sort(F.transform("codes", lambda code: F.element_at(lookup, code + 1))).alias("itemset"),
         F.size("codes").alias("length"),

@@ -17,6 +17,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import vector_to_array
@@ -26,9 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from markerloom.operators import moments
 from markerloom.operators.folds import repeated_folds
 from markerloom.operators.metrics import log_loss, roc_auc
-from markerloom.operators.presence import encode_items
+from markerloom.operators.presence import encode_items, names_literal
 from markerloom.operators.stability import choose_hyper
 from markerloom.session import scratch_path, written
 
@@ -38,7 +40,10 @@ C_RANGE = (-4.0, 4.0)
 ALPHA_SPAN = 1e-3
 
 COARSE_L1_RATIOS = (0.1, 0.5, 0.95)
+COARSE_STRENGTHS = 5
 SCORED_TOGETHER = 16
+# The quasi-Newton steps of a linear fit stop on the relative change of the loss.
+LINEAR_TOLERANCE = 1e-10
 
 
 def c_grid(count: int) -> list[float]:
@@ -58,22 +63,27 @@ def alpha_path(alpha_max: float, count: int) -> list[float]:
 
 @dataclass(frozen=True)
 class NetSettings:
-    """Outer and inner folds and the grid; the defaults are a coarse grid.
+    """Outer and inner folds and the grid; the defaults are the full search.
 
-    The full search is ``strengths=20`` (``100`` alphas for a continuous
-    outcome) with ``l1_ratios=FULL_L1_RATIOS``.
+    A continuous outcome takes ``strengths=100`` alphas. ``coarse()`` is a
+    quick look instead.
     """
 
     outer_splits: int = 5
     outer_repeats: int = 20
     inner_cv: int = 5
     seed: int = 42
-    strengths: int = 5
-    l1_ratios: Sequence[float] = COARSE_L1_RATIOS
-    max_iter: int = 200
+    strengths: int = 20
+    l1_ratios: Sequence[float] = FULL_L1_RATIOS
+    max_iter: int = 20_000
     tol: float = 1e-6
     parallelism: int = 4
 
+    @classmethod
+    def coarse(cls, **more: object) -> NetSettings:
+        """Few strengths and l1 ratios, named so that nobody takes it for the full search."""
+        return cls(**{"strengths": COARSE_STRENGTHS, "l1_ratios": COARSE_L1_RATIOS, **more})
+
     @property
     def total_fits(self) -> int:
         return self.outer_splits * self.outer_repeats
@@ -218,8 +228,10 @@ def linear_fit(train: DataFrame, alpha: float, l1: float, sd_y: float, settings:
     """One penalised linear fit on ``x, y`` (V6).
 
     The target objective is sum of squares / (2n) + alpha * (l1 |b| + (1-l1)/2 b^2).
-    Spark divides its squared part by the outcome's (population) SD, hence the
-    conversion.
+    Spark divides its squared part by the outcome's SD, hence the conversion.
+    The solver is named: left to itself Spark takes another one up to 4,096
+    features, and the two divide by different SDs. This one divides by the
+    sample SD, at any width.
     """
     penalty = alpha * (l1 + sd_y * (1.0 - l1))
     model = LinearRegression(
@@ -229,8 +241,9 @@ def linear_fit(train: DataFrame, alpha: float, l1: float, sd_y: float, settings:
         regParam=penalty,
         elasticNetParam=alpha * l1 / penalty if penalty > 0 else 0.0,
         standardization=False,
+        solver="l-bfgs",
         maxIter=settings.max_iter,
-        tol=settings.tol,
+        tol=min(settings.tol, LINEAR_TOLERANCE),
     )
     return model.fit(train)
 
@@ -273,7 +286,7 @@ def _class_counts(prepared: Prepared) -> dict[tuple[int, int], dict[int, int]]:
 
 
 def _outcome_sds(prepared: Prepared) -> dict[tuple[int, int], float]:
-    """Population SD of the outcome for (fit, inner fold left out); 0 leaves none out."""
+    """Sample SD of the outcome for (fit, inner fold left out); 0 leaves none out."""
     splits = prepared.settings.outer_splits
     sums: dict[tuple[int, int], list[float]] = {}
     for row in _cells(prepared).collect():
@@ -286,7 +299,7 @@ def _outcome_sds(prepared: Prepared) -> dict[tuple[int, int], float]:
                     total[0] += row.n
                     total[1] += row.s
                     total[2] += row.q
-    return {key: math.sqrt(max(q / n - (s / n) ** 2, 0.0)) for key, (n, s, q) in sums.items()}
+    return {key: math.sqrt(max(q - s * s / n, 0.0) / max(n - 1, 1)) for key, (n, s, q) in sums.items()}
 
 
 def _weighted(df: DataFrame, weights: dict[int, float]) -> DataFrame:
@@ -380,7 +393,49 @@ def fit_logistic(prepared: Prepared, n_classes: int) -> NetFits:
 
 
 def fit_linear(prepared: Prepared) -> NetFits:
-    """The same for a continuous outcome, scored by mean squared error (V6-V9)."""
+    """The same for a continuous outcome, scored by mean squared error (V6-V9).
+
+    Up to ``moments.MOMENT_FEATURES`` features the grid is solved from sums of
+    products, with a number of scans that the grid does not change; beyond that
+    those sums would be larger than the rows, and Spark's solver is used. Both
+    go to the same optimum.
+    """
+    if len(prepared.vocab) <= moments.MOMENT_FEATURES:
+        return _fit_linear_moments(prepared)
+    return _fit_linear_rows(prepared)
+
+
+def _fit_linear_moments(prepared: Prepared) -> NetFits:
+    settings, spark, vocab = prepared.settings, prepared.spark, prepared.vocab
+    cells = written(moments.moment_cells(prepared.table, len(vocab)), "moments")
+    solved = written(
+        moments.solve_fits(
+            cells, len(vocab), settings.outer_splits, settings.inner_cv, settings.l1_ratios, settings.strengths, ALPHA_SPAN, settings.max_iter
+        ),
+        "solved",
+    )
+    refits = solved.filter("kind = 'coef'")
+    scales = {(r.fit_id, r.code): r.sd for r in training_stats(prepared).filter("sd > 0").select("fit_id", "code", "sd").collect()}
+    found: dict[int, tuple[float, dict[int, float]]] = {}
+    for r in refits.orderBy("fit_id", "code").collect():
+        if r.code < 0:
+            found[r.fit_id] = (r.coef, {})
+        else:
+            found[r.fit_id][1][r.code] = r.coef / scales[r.fit_id, r.code]
+    names = names_literal(vocab)
+    return NetFits(
+        refits.filter("code >= 0").select(
+            "fit_id", F.lit(0).alias("class"), F.element_at(names, F.col("code") + 1).alias("feature"), "coef"
+        ),
+        written(moments.predict_held_out(prepared.table, found, settings.outer_splits), "predictions"),
+        solved.filter("kind = 'score'").select("fit_id", "alpha", "l1_ratio", "inner_fold", "score", "converged"),
+        refits.filter("code < 0").select(
+            "fit_id", F.col("alpha").alias("best_alpha"), F.col("l1_ratio").alias("best_l1_ratio"), F.col("score").alias("mean_score"), "converged"
+        ),
+    )
+
+
+def _fit_linear_rows(prepared: Prepared) -> NetFits:
     settings, spark = prepared.settings, prepared.spark
     stats = written(training_stats(prepared), "scales")
     tops = stats.groupBy("fit_id").agg(F.max(F.abs("score_y") / F.col("n_train").cast("double")).alias("top"))
@@ -438,12 +493,8 @@ def fit_linear(prepared: Prepared) -> NetFits:
 
 def _write_coef(spark: SparkSession, path: str, vocab: Sequence[str], matrix, first_class: int) -> None:
     """Non-zero coefficients of a fit as rows (V9); a model's vector is on the driver anyway."""
-    rows = [
-        (first_class + k, name, float(value))
-        for k, line in enumerate(matrix)
-        for name, value in zip(vocab, line)
-        if value != 0.0 and not math.isnan(value)
-    ]
+    dense = np.nan_to_num(np.asarray(matrix, dtype=float), nan=0.0)
+    rows = [(int(first_class + k), vocab[i], float(dense[k, i])) for k, i in zip(*np.nonzero(dense), strict=True)]
     spark.createDataFrame(rows, "class int, feature string, coef double").coalesce(1).write.parquet(path)
 
 

@@ -22,6 +22,28 @@ from markerloom.functions.cells import is_present
 VOCABULARY_LIMIT = 1 << 20
 CLASS_LIMIT = 10_000
 
+# What a NULL label is called: a class of its own, like any other text.
+MISSING_LABEL = "missing"
+_APART = "\x1f"
+
+
+def names_literal(names: Sequence[str]) -> Column:
+    """A list of names as one constant: one joined text that the optimizer splits once.
+
+    An array literal makes one expression per name, which takes seconds for
+    thousands of names.
+    """
+    if not names:
+        return F.array().cast(T.ArrayType(T.StringType()))
+    if any(_APART in name for name in names):
+        return F.lit(list(names))
+    return F.split(F.lit(_APART.join(names)), _APART)
+
+
+def fill_labels(samples: DataFrame) -> DataFrame:
+    """NULL labels become ``MISSING_LABEL``. Every job does this first."""
+    return samples.withColumn("label", F.coalesce("label", F.lit(MISSING_LABEL)))
+
 
 def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
@@ -106,8 +128,8 @@ def select_features(
 
 
 def drop_labels(samples: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Leave out the samples of some classes."""
-    return samples.filter(~F.col("label").isin(*labels)) if labels else samples
+    """Leave out the samples of some classes; a sample without a label stays."""
+    return samples.filter(F.col("label").isNull() | ~F.col("label").isin(*labels)) if labels else samples
 
 
 def keep_labels(samples: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -121,10 +143,9 @@ def binary_target(samples: DataFrame, toi: str) -> DataFrame:
 
 
 def label_codes(samples: DataFrame) -> DataFrame:
-    """Sorted labels numbered from 0 (P6); one row per class."""
-    labels = samples.groupBy("label").agg(F.count("*").alias("n"))
-    ordered = labels.agg(F.array_sort(F.collect_list("label")).alias("labels"))
-    return ordered.select(F.posexplode("labels").alias("encoded_class", "label"))
+    """Sorted labels numbered from 0 (P6); one row per class. NULL labels count as ``MISSING_LABEL``."""
+    labels = list(class_sizes(fill_labels(samples)))
+    return samples.sparkSession.createDataFrame(list(enumerate(labels)), "encoded_class int, label string")
 
 
 def class_sizes(samples: DataFrame) -> dict[str, int]:
@@ -132,16 +153,18 @@ def class_sizes(samples: DataFrame) -> dict[str, int]:
     rows = class_counts(samples).limit(CLASS_LIMIT + 1).collect()
     if len(rows) > CLASS_LIMIT:
         raise ValueError("the label column has too many different values for a class label")
-    return {row.label: row.n for row in sorted(rows, key=lambda row: row.label)}
+    return {row.label: row.n for row in sorted(rows, key=lambda row: (row.label is not None, row.label or ""))}
 
 
 def encode_labels(samples: DataFrame) -> DataFrame:
     """Attach ``encoded_class`` to every sample.
 
     The checked label list is a literal, so no join on the label is needed and
-    a label that holds most rows causes no skew.
+    a label that holds most rows causes no skew. NULL labels count as
+    ``MISSING_LABEL``.
     """
-    labels = F.lit(list(class_sizes(samples)))
+    samples = fill_labels(samples)
+    labels = names_literal(list(class_sizes(samples)))
     return samples.withColumn("encoded_class", (F.array_position(labels, F.col("label")) - 1).cast("int"))
 
 
@@ -231,7 +254,7 @@ def item_codes(baskets: DataFrame, vocab: Sequence[str], column: str = "codes")
 
 def vector_items(column: str, vocab: Sequence[str]) -> Column:
     """Names of the non-zero positions of a 0/1 vector over ``vocab``."""
-    names = F.lit(list(vocab))
+    names = names_literal(vocab)
     return F.transform(F.unwrap_udt(column).getField("indices"), lambda code: F.element_at(names, code + 1))
 
 

@@ -62,6 +62,8 @@ class ForestMarkers:
     non_target_itemsets: DataFrame | None = None
     annotations: DataFrame | None = None
     forest: object | None = None
+    vocabulary: list[str] | None = None
+    classes: list[str] | None = None
 
     def save(self, out: str, force: bool = False, as_tsv: bool = False) -> None:
         """Every table as parquet, or as TSV with lists in text form (K1, K4)."""
@@ -98,8 +100,8 @@ def find_markers(
     max_count: int | None = None,
     test_size: float = 0.2,
     seeds: tuple[int, int] | None = None,
-    split_seeds: Sequence[int] = tuple(range(5)),
-    model_seeds: Sequence[int] = tuple(range(5)),
+    split_seeds: Sequence[int] = tuple(range(50)),
+    model_seeds: Sequence[int] = tuple(range(50)),
     trees: int = 100,
     max_depth: int = forest.MAX_DEPTH,
     saved_forest: str | None = None,
@@ -130,7 +132,8 @@ def find_markers(
     """
     checks.require_share(test_size)
     spark = baskets.sparkSession
-    baskets = written(baskets.select("sample_id", "label", "items"), "samples")
+    baskets = written(presence.fill_labels(baskets.select("sample_id", "label", "items")), "samples")
+    checks.require_unique_ids(baskets)
     checks.require_label(baskets, toi)
     sizes = checks.class_sizes(baskets)
     n_samples = sum(sizes.values())
@@ -144,12 +147,12 @@ def find_markers(
         "label",
         "features",
         presence.vector_items("features", vocab).alias("items"),
-        (F.array_position(F.lit(codes), F.col("label")) - 1).cast("double").alias("encoded_class"),
+        (F.array_position(presence.names_literal(codes), F.col("label")) - 1).cast("double").alias("encoded_class"),
     )
     vectors = written(coded, "vectors")
 
     if saved_forest is not None:
-        model, report = forest.load_forest(saved_forest), None
+        model, report = forest.load_forest(saved_forest, vocab, codes), None
     else:
         if seeds is None:
             scores = forest.seed_scores(
@@ -164,7 +167,7 @@ def find_markers(
             seeds = forest.best_seeds(scores)
         split = forest.with_split(vectors.select("sample_id", "features", "encoded_class"), test_size, seeds[0])
         model = forest.fit_forest(split.filter(~F.col("is_test")), seeds[1], trees, max_depth)
-        labels = F.lit(codes)
+        labels = presence.names_literal(codes)
         report = forest.forest_report(model, split.filter("is_test")).withColumn(
             "class", F.element_at(labels, F.col("class") + 1)
         )
@@ -248,7 +251,7 @@ def find_markers(
     out.forest_importance = forest.top_features(forest.feature_importance(model, vocab, spark))
     out.report = report
     out.target_itemsets, out.non_target_itemsets = by_support(target_items), by_support(other_items)
-    out.forest = model
+    out.forest, out.vocabulary, out.classes = model, vocab, codes
     if annotations is not None:
         members = clusters.target_slice(out.clusters, coi.cluster, toi)
         chosen = annotate.restrict_annotations(annotations, members, out.features)

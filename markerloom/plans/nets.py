@@ -83,7 +83,8 @@ def binary_net(
 ) -> NetResult:
     """Target of interest against the rest."""
     spark = baskets.sparkSession
-    kept = presence.drop_labels(baskets, drop)
+    checks.require_unique_ids(baskets)
+    kept = presence.drop_labels(presence.fill_labels(baskets), drop)
     positives, negatives = checks.require_binary(kept, toi)
     names = _names(kept, features)
     # Folds are stratified by the binary target.
@@ -137,16 +138,17 @@ def multiclass_net(
 ) -> NetResult:
     """Three or more labels, with an optional table for one of them."""
     spark = baskets.sparkSession
-    kept = presence.keep_labels(baskets, keep)
+    checks.require_unique_ids(baskets)
+    kept = presence.keep_labels(presence.fill_labels(baskets), keep)
     sizes = checks.class_sizes(kept)
     checks.require_multiclass(sizes)
     if toi is not None and toi not in sizes:
         raise ValueError(f"'{toi}' is not one of the labels: {list(sizes)}")
     names, labels = _names(kept, features), list(sizes)
-    coded = kept.withColumn("y", F.array_position(F.lit(labels), F.col("label")) - 1)
+    coded = kept.withColumn("y", F.array_position(presence.names_literal(labels), F.col("label")) - 1)
     prepared = penalised.prepare(coded, names, settings, stratified=True)
     fits = penalised.fit_logistic(prepared, len(labels))
-    known = F.lit(labels)
+    known = presence.names_literal(labels)
     coef = fits.coef.withColumn("class", F.element_at(known, F.col("class") + 1))
     probs = [F.element_at("probability", i + 1).alias(f"prob_{label}") for i, label in enumerate(labels)]
     base = fits.predictions.withColumnRenamed("fit_id", "fold")
@@ -189,13 +191,15 @@ def continuous_net(
     meta: DataFrame,
     id_col: str,
     outcome_col: str,
-    settings: NetSettings = NetSettings(strengths=10),
+    settings: NetSettings = NetSettings(strengths=100, max_iter=30_000),
     features: Sequence[str] | None = None,
     log1p: bool = False,
 ) -> NetResult:
     """A numeric outcome from a second table."""
     spark = baskets.sparkSession
     checks.require_columns(meta, [id_col, outcome_col], "the metadata")
+    checks.require_unique_ids(baskets)
+    checks.require_unique_ids(meta.select(F.col(f"`{id_col}`").cast("string").alias("sample_id")).dropna())
     joined = written(outcomes.join_outcome(baskets.select("sample_id", "items"), meta, id_col, outcome_col, log1p), "joined")
     if joined.isEmpty():
         raise ValueError("no sample is in both tables; check the sample ids")

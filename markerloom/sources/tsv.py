@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +62,9 @@ def read_presence(
     """Wide presence TSV to ``(baskets, catalogue)``."""
     wide = read_tsv(spark, path)
     require_columns(wide, [c for c in (id_col, label_col) if c is not None])
-    names, _ = feature_columns(wide.columns, id_col, label_col, include, exclude, prefix)
+    names, unknown = feature_columns(wide.columns, id_col, label_col, include, exclude, prefix)
+    if unknown:
+        warnings.warn(f"excluded predictors that the table does not have: {', '.join(unknown)}", stacklevel=2)
     require_features(names)
     return baskets_from_wide(wide, id_col, names, label_col), catalogue(spark, names)
 

@@ -89,9 +89,9 @@ def test_saved_tables_resume(found, spark, tmp_path):
 
 def test_saved_forest_and_itemsets_resume(found, spark, tmp_path):
     path = str(tmp_path / "forest")
-    forest.save_forest(found.forest, path)
+    forest.save_forest(found.forest, path, found.vocabulary, found.classes)
     with pytest.raises(Exception):
-        forest.save_forest(found.forest, path)
+        forest.save_forest(found.forest, path, found.vocabulary, found.classes)
     again = find_markers(
         spark.createDataFrame(planted_rows(), SCHEMA),
         "level_2",
@@ -107,7 +107,7 @@ def test_saved_forest_and_itemsets_resume(found, spark, tmp_path):
 
 def test_saved_clusters_resume(found, spark, tmp_path):
     path = str(tmp_path / "forest")
-    forest.save_forest(found.forest, path)
+    forest.save_forest(found.forest, path, found.vocabulary, found.classes)
     table = spark.createDataFrame(planted_rows(), SCHEMA)
     # The label itself as a saved clustering.
     saved = table.selectExpr("sample_id", "cast(label = 'level_2' as int) as cluster")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 
-from markerloom.operators import penalised
+from markerloom.operators import moments, penalised
 from markerloom.operators.penalised import NetSettings
 from markerloom.plans import binary_net, continuous_net, multiclass_net
 
@@ -51,10 +51,51 @@ def test_linear_penalty_parity(spark, alpha, l1):
     y = 3 * signal + rng.normal(size=len(signal))
     rows = [(Vectors.dense(a / x.std(0)), float(b)) for a, b in zip(x, y)]
     df = spark.createDataFrame(rows, ["x", "y"])
-    model = penalised.linear_fit(df, alpha, l1, float(np.std(y)), EXACT)
+    model = penalised.linear_fit(df, alpha, l1, float(np.std(y, ddof=1)), EXACT)
     assert model.coefficients.toArray() == pytest.approx(descend(x, y, alpha, l1), abs=1e-6)
 
 
+def test_linear_penalty_does_not_depend_on_the_width(spark):
+    x, signal, rng = data(n=60, p=6)
+    y = 3 * signal + rng.normal(size=len(signal))
+    coefs = []
+    for width in (6, 4200):
+        rows = [(Vectors.sparse(width, list(range(6)), (a / x.std(0)).tolist()), float(b)) for a, b in zip(x, y)]
+        model = penalised.linear_fit(spark.createDataFrame(rows, ["x", "y"]), 0.5, 0.2, float(np.std(y, ddof=1)), EXACT)
+        coefs.append(model.coefficients.toArray()[:6])
+    assert coefs[0] == pytest.approx(descend(x, y, 0.5, 0.2), abs=1e-6)
+    assert coefs[1] == pytest.approx(coefs[0], abs=1e-6)
+
+
+def test_paths_from_moments():
+    x, signal, rng = data(3, p=5)
+    y = signal + rng.normal(size=len(signal))
+    z = (x - x.mean(0)) / x.std(0)
+    gram, cross = z.T @ z / len(y), z.T @ (y - y.mean()) / len(y)
+    alphas = np.array([[0.9, 0.3, 0.02], [0.5, 0.1, 0.01]])
+    found, done = moments.descend(np.stack([gram] * 2), np.stack([cross] * 2), alphas, np.array([0.3, 0.9]), 30_000)
+    assert done.all()
+    for k, l1 in enumerate((0.3, 0.9)):
+        for step, alpha in enumerate(alphas[k]):
+            assert found[k, step] == pytest.approx(descend(x, y, alpha, l1), abs=1e-7)
+
+
+def test_both_linear_ways_agree(spark, baskets, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = {(f"s{i}", "x"): [f"f{j}" for j in range(5) if rng.random() < 0.3 + 0.1 * j] for i in range(60)}
+    table = baskets(rows).selectExpr("*", "cast(3 * size(items) + 4 * cast(array_contains(items, 'f1') as int) + hash(sample_id) % 3 as double) as y")
+    settings = NetSettings(outer_splits=3, outer_repeats=1, inner_cv=2, strengths=3, l1_ratios=(0.2, 0.9), max_iter=2000, tol=1e-12)
+    prepared = penalised.prepare(table, [f"f{j}" for j in range(5)], settings, stratified=False)
+    quick = penalised.fit_linear(prepared)
+    monkeypatch.setattr(moments, "MOMENT_FEATURES", 0)
+    slow = penalised.fit_linear(prepared)
+    for name, keys, value in (("coef", ["fit_id", "feature"], "coef"), ("predictions", ["fit_id", "sample_id"], "y_pred"), ("inner_scores", ["fit_id", "alpha", "l1_ratio", "inner_fold"], "score")):
+        a, b = (sorted((*(round(r[k], 6) if isinstance(r[k], float) else r[k] for k in keys), r[value]) for r in getattr(f, name).collect()) for f in (quick, slow))
+        assert [r[:-1] for r in a] == [r[:-1] for r in b]
+        assert [r[-1] for r in a] == pytest.approx([r[-1] for r in b], abs=1e-4)
+    assert quick.inner_scores.filter("not converged").isEmpty()
+
+
 @pytest.mark.parametrize("c,l1", [(0.1, 0.4), (1.0, 0.95)])
 def test_logistic_penalty_parity(spark, c, l1):
     x, signal, rng = data(1)
@@ -128,7 +169,7 @@ def test_multiclass_net_gives_directions(spark, baskets):
     assert table["up"] == "enriched_in_TOI" and table["down"] == "depleted_in_TOI"
     assert [(r.encoded_class, r.label) for r in out.class_map.orderBy("encoded_class").collect()] == [(0, "a"), (1, "b"), (2, "c")]
     assert {"prob_a", "prob_b", "prob_c"} <= set(out.predictions.columns)
-    with pytest.raises(ValueError, match="at least 3"):
+    with pytest.raises(ValueError, match="3 labels or more"):
         multiclass_net(planted(baskets), "a", SMALL, keep=["a", "b"])
 
 
