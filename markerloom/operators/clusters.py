@@ -18,9 +18,9 @@ BOOTSTRAPS = 1000
 CLUSTERS = (0, 1)
 
 
-def leaf_arrays(transformed: DataFrame) -> DataFrame:
-    """Forest output to ``sample_id, leaves``: the leaf reached in each tree."""
-    return transformed.select("sample_id", vector_to_array("leaf").cast("array<int>").alias("leaves"))
+def leaf_arrays(transformed: DataFrame, *kept: str) -> DataFrame:
+    """Forest output to ``sample_id, leaves``, the leaf reached in each tree, and the kept columns."""
+    return transformed.select("sample_id", *kept, vector_to_array("leaf").cast("array<int>").alias("leaves"))
 
 
 def leaf_rows(leaves: DataFrame) -> DataFrame:
@@ -90,10 +90,51 @@ def choose_medoids(leaves: DataFrame, count: int = 64, seed: int = 42) -> list[t
     return [candidates[best.first], candidates[best.second]]
 
 
-def assign_clusters(leaves: DataFrame, medoids: Sequence[tuple[str, Sequence[int]]]) -> DataFrame:
-    """``sample_id, cluster``: the nearer medoid, ties to the lower number."""
+def _cost(leaves: DataFrame, medoids: Sequence[tuple[str, Sequence[int]]]) -> int:
+    """Trees in which a sample leaves its nearer medoid, summed over all samples."""
     a, b = (shared_leaves(F.col("leaves"), leaf) for _, leaf in medoids)
-    return leaves.select("sample_id", F.when(b > a, 1).otherwise(0).alias("cluster"))
+    return leaves.agg(F.sum(F.size("leaves") - F.greatest(a, b)).alias("cost")).first().cost or 0
+
+
+def best_members(leaves: DataFrame, medoids: Sequence[tuple[str, Sequence[int]]]) -> list[tuple[str, list[int]]]:
+    """The sample of each cluster that is nearest to all of its cluster.
+
+    A sample's similarity to a cluster is the sum over trees of how many members
+    share its leaf there. So members are counted per (cluster, tree, leaf) and
+    the counts looked up: samples times trees, no pairs. Ties go to the smaller
+    id; an empty cluster keeps its medoid.
+    """
+    a, b = (shared_leaves(F.col("leaves"), leaf) for _, leaf in medoids)
+    placed = leaves.select("sample_id", F.when(b > a, 1).otherwise(0).alias("cluster"), "leaves")
+    rows = placed.select("sample_id", "cluster", F.posexplode("leaves").alias("tree", "leaf"))
+    keys = ["cluster", "tree", "leaf"]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("members"))
+    sums = rows.join(counts, keys).groupBy("cluster", "sample_id").agg(F.sum("members").alias("near"))
+    best = sums.groupBy("cluster").agg(F.min(F.struct((-F.col("near")).alias("far"), "sample_id")).alias("b"))
+    chosen = {row.cluster: row.b.sample_id for row in best.collect()}
+    held = {row.sample_id: list(row.leaves) for row in leaves.filter(F.col("sample_id").isin(*chosen.values())).collect()}
+    return [(chosen[c], held[chosen[c]]) if c in chosen else (medoids[c][0], list(medoids[c][1])) for c in CLUSTERS]
+
+
+def refined_medoids(leaves: DataFrame, medoids: Sequence[tuple[str, Sequence[int]]]) -> list[tuple[str, list[int]]]:
+    """Alternates best members and assignment until the cost falls no more.
+
+    Every sample can become a medoid; the pair it starts from only decides
+    where the search begins. The cost is a whole number that falls each round.
+    """
+    held, cost = [(name, list(leaf)) for name, leaf in medoids], _cost(leaves, medoids)
+    while True:
+        following = best_members(leaves, held)
+        lower = _cost(leaves, following)
+        if lower >= cost:
+            return held
+        held, cost = following, lower
+
+
+def assign_clusters(leaves: DataFrame, medoids: Sequence[tuple[str, Sequence[int]]], *kept: str) -> DataFrame:
+    """``sample_id, cluster`` and the kept columns: the nearer medoid, ties to the lower number."""
+    a, b = (shared_leaves(F.col("leaves"), leaf) for _, leaf in medoids)
+    return leaves.select("sample_id", *kept, F.when(b > a, 1).otherwise(0).alias("cluster"))
 
 
 def label_clusters(samples: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -174,14 +174,13 @@ def find_markers(
 
     medoids = None
     if saved_clusters is None:
-        leaves = written(clusters.leaf_arrays(model.transform(vectors)), "leaves")
-        medoids = clusters.choose_medoids(leaves, medoid_candidates)
-        assigned = clusters.assign_clusters(leaves, medoids)
+        # Label and items ride along, so nothing is joined back.
+        leaves = written(clusters.leaf_arrays(model.transform(vectors), "label", "items"), "leaves")
+        medoids = clusters.refined_medoids(leaves, clusters.choose_medoids(leaves, medoid_candidates))
+        assigned = clusters.assign_clusters(leaves, medoids, "label", "items")
     else:
-        assigned = saved_clusters.select("sample_id", "cluster")
-    clustered = written(
-        clusters.label_clusters(vectors, assigned).join(vectors.select("sample_id", "items"), "sample_id"), "clustered"
-    )
+        assigned = vectors.select("sample_id", "label", "items").join(saved_clusters.select("sample_id", "cluster"), "sample_id", "left")
+    clustered = written(assigned.select("sample_id", F.col("label").alias("target"), "cluster", "items"), "clustered")
     coi = clusters.cluster_of_interest(clustered, toi).first()
     importance = written(
         clusters.log_importance(clusters.local_importance(clustered, statistic=importance_statistic)), "importance"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,14 +29,14 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediates, taken from the session.
 
-    A machine-local folder is made only for a local master without the
+    A machine-local folder is made only for a one-process master without the
     setting; on a cluster a missing setting is an error, because executors on
     other machines could not read what was written.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
     made = tempfile.mkdtemp(prefix="markerloom-")
     spark.conf.set(CHECKPOINT_KEY, made)

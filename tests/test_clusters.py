@@ -31,6 +31,17 @@ def test_medoids_are_the_exact_best_pair(leaves, leaf_data):
     assert cost[got[0][0], got[1][0]] == min(cost.values())
 
 
+def test_refined_medoids_are_the_best_of_their_clusters(leaves, leaf_data):
+    start = clusters.choose_medoids(leaves, 4)
+    got = clusters.refined_medoids(leaves, start)
+    assert clusters._cost(leaves, got) <= clusters._cost(leaves, start)
+    near = {n: int(shared(v, got[1][1]) > shared(v, got[0][1])) for n, v in leaf_data.items()}
+    sums = {n: sum(shared(v, leaf_data[m]) for m in leaf_data if near[m] == near[n]) for n, v in leaf_data.items()}
+    best = [min((n for n in leaf_data if near[n] == c), key=lambda n: (-sums[n], n)) for c in (0, 1)]
+    assert clusters.best_members(leaves, got) == [(n, leaf_data[n]) for n in best]
+    assert clusters._cost(leaves, [(n, leaf_data[n]) for n in best]) >= clusters._cost(leaves, got)
+
+
 def test_assignment_and_pair_counts_agree(leaves, leaf_data):
     medoids = clusters.choose_medoids(leaves, 16)
     got = {r.sample_id: r.cluster for r in clusters.assign_clusters(leaves, medoids).collect()}

@@ -154,3 +154,16 @@ def test_seed_search_scores_every_pair(spark):
     vectors = vectors.select("sample_id", "features", F.col("y").cast("double").alias("encoded_class"))
     scores = forest.seed_scores(vectors, range(2), (0, 1), trees=5, max_depth=3)
     assert scores.count() == 4 and set(forest.best_seeds(scores)) <= {0, 1}
+
+
+def test_forest_splits_on_rare_features(spark):
+    """Features of five rows each in more rows than a split sample would hold."""
+    import pyspark.sql.functions as F
+    from pyspark.ml.linalg import SparseVector
+
+    rows = [(f"s{i:06}", SparseVector(6, {i // 5: 1.0} if i < 30 else {}), 1.0 if i < 30 else 0.0) for i in range(15_000)]
+    table = spark.createDataFrame(rows, ["sample_id", "features", "encoded_class"]).repartition(4, "sample_id")
+    model = forest.fit_forest(table, 1, trees=60, max_depth=12)
+    used = model.featureImportances.toArray()
+    assert (used > 0).all()
+    assert forest.predict(model, table).filter((F.col("y_true") == 1) & (F.col("y_pred") == 1)).count() == 30

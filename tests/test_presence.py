@@ -111,3 +111,23 @@ def test_predictor_choice():
     assert tsv.feature_columns(columns, "sample", "target", exclude=["OG1", "zz"]) == (["OG2", "other"], ["zz"])
     with pytest.raises(ValueError, match="zz"):
         tsv.feature_columns(columns, "sample", "target", include=["OG1", "zz"])
+
+
+def test_missing_labels_and_repeated_ids(spark, baskets):
+    rows = spark.createDataFrame([("a", None, ["x"]), ("b", "l", ["x"]), ("c", "m", [])], "sample_id string, label string, items array<string>")
+    assert sorted(r.sample_id for r in presence.drop_labels(rows, ["l"]).collect()) == ["a", "c"]
+    codes = {r.sample_id: r.encoded_class for r in presence.encode_labels(rows).collect()}
+    assert codes == {"a": 2, "b": 0, "c": 1}
+    assert {r.label for r in presence.label_codes(rows).collect()} == {"l", "m", presence.MISSING_LABEL}
+    checks.require_unique_ids(rows)
+    with pytest.raises(ValueError, match="'a'"):
+        checks.require_unique_ids(rows.union(rows.limit(1)))
+
+
+def test_unknown_excluded_names_are_told(spark, tmp_path):
+    path = str(tmp_path / "wide.tsv")
+    with open(path, "w") as f:
+        f.write("sample\ttarget\tOG1\tOG2\ns1\ta\t1\t0\n")
+    with pytest.warns(UserWarning, match="OG9"):
+        got, _ = tsv.read_presence(spark, path, "sample", "target", exclude=["OG2", "OG9"])
+    assert [r["items"] for r in got.collect()] == [["OG1"]]
