@@ -27,8 +27,9 @@ MIN_CLASSES = 3
 BAD_IDS_SHOWN = 10
 
 
-def require_columns(df: DataFrame, columns: Sequence[str], what: str = "the input") -> None:
-    missing = [c for c in columns if c not in df.columns]
+def require_columns(df: DataFrame | Sequence[str], columns: Sequence[str], what: str = "the input") -> None:
+    known = df.columns if isinstance(df, DataFrame) else df
+    missing = [c for c in columns if c not in known]
     if missing:
         raise ValueError(f"columns not found in {what}: {', '.join(missing)}")
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerloom.operators.annotate import unpivot_annotation
+from markerloom.functions.cells import is_present
 from markerloom.operators.checks import require_columns, require_features
-from markerloom.operators.presence import baskets_from_wide
+from markerloom.operators.presence import names_literal
 
 FEATURE_PREFIX = "OG"
 ANNOTATED_FEATURE = "Orthogroup"
@@ -21,6 +21,32 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", True).option("maxColumns", 1_000_000).csv(path)
 
 
+def _plain(cell: Column) -> Column:
+    """A cell without the quotes around it; an empty one is NULL."""
+    quoted = (F.length(cell) >= 2) & cell.startswith('"') & cell.endswith('"')
+    inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+    return F.nullif(F.when(quoted, inner).otherwise(cell), F.lit(""))
+
+
+def read_cells(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """Column names of a TSV, and its lines as ``cells``, an array in column order.
+
+    A reader with a column per name makes a plan as long as the table is wide;
+    here the plan is the same for five columns and for fifty thousand. Every
+    file of a folder may repeat the header. Cells cannot hold a tab.
+    """
+    lines = spark.read.text(path)
+    first = lines.head()
+    header = first.value if first else ""
+    names = [n[1:-1].replace('""', '"') if len(n) >= 2 and n[0] == n[-1] == '"' else n for n in header.split("\t")]
+    cells = F.transform(F.split("value", "\t", -1), _plain)
+    return names, lines.filter(F.col("value") != header).select(cells.alias("cells"))
+
+
+def _cell(names: Sequence[str], name: str) -> Column:
+    return F.get("cells", F.lit(list(names).index(name)))
+
+
 def feature_columns(
     columns: Sequence[str],
     id_col: str,
@@ -60,20 +86,29 @@ def read_presence(
     prefix: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Wide presence TSV to ``(baskets, catalogue)``."""
-    wide = read_tsv(spark, path)
-    require_columns(wide, [c for c in (id_col, label_col) if c is not None])
-    names, unknown = feature_columns(wide.columns, id_col, label_col, include, exclude, prefix)
+    columns, lines = read_cells(spark, path)
+    require_columns(columns, [c for c in (id_col, label_col) if c is not None])
+    names, unknown = feature_columns(columns, id_col, label_col, include, exclude, prefix)
     if unknown:
         warnings.warn(f"excluded predictors that the table does not have: {', '.join(unknown)}", stacklevel=2)
     require_features(names)
-    return baskets_from_wide(wide, id_col, names, label_col), catalogue(spark, names)
+    chosen = set(names)
+    by_place = names_literal([c if c in chosen else "" for c in columns])
+    present = F.transform("cells", lambda cell, i: F.when(is_present(cell), F.nullif(F.get(by_place, i), F.lit(""))))
+    kept = [_cell(columns, id_col).alias("sample_id")]
+    if label_col is not None:
+        kept.append(_cell(columns, label_col).alias("label"))
+    return lines.select(*kept, F.array_compact(present).alias("items")), catalogue(spark, names)
 
 
 def read_annotation(spark: SparkSession, path: str, feature_col: str = ANNOTATED_FEATURE) -> DataFrame:
     """Wide annotation TSV to ``feature, sample_id, entry`` (A3)."""
-    wide = read_tsv(spark, path)
-    require_columns(wide, [feature_col], "the annotation table")
-    return unpivot_annotation(wide, feature_col, [c for c in wide.columns if c != feature_col])
+    columns, lines = read_cells(spark, path)
+    require_columns(columns, [feature_col], "the annotation table")
+    samples = names_literal([c if c != feature_col else "" for c in columns])
+    rows = lines.select(_cell(columns, feature_col).alias("feature"), F.posexplode("cells").alias("place", "entry"))
+    named = rows.select("feature", F.get(samples, F.col("place")).alias("sample_id"), "entry")
+    return named.filter(F.col("entry").isNotNull() & (F.col("sample_id") != ""))
 
 
 def _list_text(column: str):

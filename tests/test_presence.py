@@ -131,3 +131,27 @@ def test_unknown_excluded_names_are_told(spark, tmp_path):
     with pytest.warns(UserWarning, match="OG9"):
         got, _ = tsv.read_presence(spark, path, "sample", "target", exclude=["OG2", "OG9"])
     assert [r["items"] for r in got.collect()] == [["OG1"]]
+
+
+def test_wide_tables_are_read_by_place(spark, tmp_path):
+    import time
+
+    wide = tmp_path / "wide.tsv"
+    columns = [f"OG{i:06}" for i in range(50_000)]
+    with open(wide, "w") as f:
+        f.write("\t".join(["sample", *columns, "target"]) + "\n")
+        for s in range(100):
+            f.write("\t".join([f"s{s}", *("1" if (i + s) % 50 == 0 else "0" for i in range(50_000)), "a" if s % 2 else ""]) + "\n")
+    start = time.perf_counter()
+    got, order = tsv.read_presence(spark, str(wide), "sample", "target", prefix="OG")
+    counts = presence.feature_counts(got).collect()
+    assert time.perf_counter() - start < 30
+    assert len(counts) == 50_000 and all(r.n == 2 for r in counts) and len(order.columns) == 2
+    assert got.filter("label is null").count() == 50
+
+
+def test_quoted_cells(spark, tmp_path):
+    path = tmp_path / "q.tsv"
+    path.write_text('"sample"\t"OG a"\tOG2\n"s ""1"""\t"1"\t0\ns2\t\tTRUE\n')
+    got, _ = tsv.read_presence(spark, str(path), "sample")
+    assert {r.sample_id: r["items"] for r in got.collect()} == {'s "1"': ["OG a"], "s2": ["OG2"]}
