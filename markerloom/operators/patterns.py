@@ -20,10 +20,6 @@ from markerloom.session import written
 
 ITEMSET_SCHEMA = "itemset array<string>, length int, freq bigint, support double"
 
-# With few frequent items many baskets coincide and merging them pays; with
-# many items it would only reshuffle the baskets.
-MERGE_UP_TO_ITEMS = 64
-
 
 def empty_itemsets(spark) -> DataFrame:
     return spark.createDataFrame([], ITEMSET_SCHEMA)
@@ -76,13 +72,9 @@ def frequent_itemsets(
     names = [row.feature for row in singles]
 
     coded = item_codes(baskets.select("items"), names).filter(F.size("codes") > 0).select("codes")
-    if len(names) <= MERGE_UP_TO_ITEMS:
-        # Merged baskets are few bytes but much work each: spread them again.
-        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        coded = coded.groupBy("codes").agg(F.count("*").alias("weight")).repartition(tasks)
-    else:
-        coded = coded.withColumn("weight", F.lit(1).cast("bigint"))
-    coded = written(coded, "baskets")
+    # Merged baskets are few bytes but much work each: spread them again.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    coded = written(coded.groupBy("codes").agg(F.count("*").alias("weight")).repartition(tasks), "baskets")
 
     # Sets are nodes of a prefix tree: (parent node, last item). Keys stay two
     # numbers however long the set is.
@@ -105,6 +97,8 @@ def frequent_itemsets(
             # (once more in an inferred "not empty" filter).
             F.explode_outer(F.array_intersect("next", "codes")).alias("item"),
         ).filter(F.col("item").isNotNull())
+        # Written, so that the next level goes on from here and repeats no join.
+        walk = written(walk, "walk")
         counted = walk.groupBy("parent", "item").agg(F.sum("weight").alias("freq")).filter(F.col("freq") >= min_count)
         above = level.select(F.col("node").alias("parent"), F.col("codes").alias("stem"))
         level = written(

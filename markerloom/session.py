@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,19 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
     )
 
 
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers find this package where the driver found it, also if the driver was started elsewhere.
+
+    On a cluster the package is installed or sent along like any other; a path
+    that a machine does not have does no harm.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediates, taken from the session.
 

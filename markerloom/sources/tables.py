@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markerloom.operators.presence import baskets_from_long
+from markerloom.session import share_package
 
 WORD = "[a-z]+"
 
@@ -21,6 +22,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
@@ -46,7 +48,6 @@ def brand_presence(spark: SparkSession, folder: str) -> DataFrame:
     return (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .select("l_orderkey", "p_brand")
-        .distinct()
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(F.col("o_custkey").cast("string").alias("sample_id"), F.col("p_brand").alias("feature"))
     )

@@ -39,10 +39,9 @@ def test_itemsets_match_brute_force(baskets, support, max_len):
     assert as_dict(patterns.frequent_itemsets(table, support, max_len)) == brute(sets, support, max_len)
 
 
-def test_many_items_without_merging(baskets, monkeypatch):
-    monkeypatch.setattr(patterns, "MERGE_UP_TO_ITEMS", 2)
+def test_repeated_baskets_count_each_time(baskets):
     rng = random.Random(6)
-    sets = [{f"i{j}" for j in range(7) if rng.random() < 0.5} for _ in range(60)]
+    sets = [{f"i{j}" for j in range(7) if rng.random() < 0.5} for _ in range(30)] * 2
     table = baskets({(str(n), "x"): sorted(s) for n, s in enumerate(sets)})
     assert as_dict(patterns.frequent_itemsets(table, 0.2, 3)) == brute(sets, 0.2, 3)
 
