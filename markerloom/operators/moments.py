@@ -73,21 +73,21 @@ def descend(gram: np.ndarray, cross: np.ndarray, alphas: np.ndarray, l1: np.ndar
     out, done = np.zeros((problems, steps, size)), np.zeros((problems, steps), dtype=bool)
     diagonal = np.einsum("bjj->bj", gram)
     scale = np.sqrt(np.maximum(diagonal, 0.0))
+    columns = [np.ascontiguousarray(gram[:, :, j]) for j in range(size)]
     limit = STEP_TOLERANCE * np.maximum(np.abs(cross).max(axis=1), 1e-300)
     for step in range(steps):
         thresholds, ridge = alphas[:, step] * l1, alphas[:, step] * (1.0 - l1)
+        bottom = diagonal + ridge[:, None]
+        over = np.where(diagonal > 0, 1.0 / np.where(bottom > 0, bottom, 1.0), 0.0)
         active = np.ones(problems, dtype=bool)
         for _ in range(max_iter):
             largest = np.zeros(problems)
             for j in range(size):
-                own = diagonal[:, j]
-                rho = left[:, j] + own * beta[:, j]
-                bottom = own + ridge
-                new = np.sign(rho) * np.maximum(np.abs(rho) - thresholds, 0.0) / np.where(bottom > 0, bottom, 1.0)
-                new = np.where((own > 0) & active, new, np.where(active, 0.0, beta[:, j]))
+                rho = left[:, j] + diagonal[:, j] * beta[:, j]
+                new = (np.maximum(rho - thresholds, 0.0) + np.minimum(rho + thresholds, 0.0)) * over[:, j]
                 change = new - beta[:, j]
                 if change.any():
-                    left -= gram[:, :, j] * change[:, None]
+                    left -= columns[j] * change[:, None]
                     beta[:, j] = new
                     largest = np.maximum(largest, np.abs(change) * scale[:, j])
             active = largest > limit
@@ -128,42 +128,56 @@ def solve_fits(cells: DataFrame, size: int, splits: int, inner_cv: int, l1_ratio
     steps = span ** (np.arange(strengths) / max(strengths - 1, 1))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fit_id, fold = int(frame["fit_id"].iloc[0]), int(frame["fit_fold"].iloc[0])
-        held = np.zeros((inner_cv + 1, size + 2, size + 2))
-        train = frame[frame["fold"] != fold]
-        np.add.at(held, (train["inner_fold"], train["i"], train["j"]), train["total"])
-        upper = np.triu(np.ones((size + 2, size + 2)), 1).astype(bool)
-        for g in range(inner_cv + 1):
-            held[g] += np.where(upper, held[g], 0.0).T
-        whole = held.sum(axis=0)
-        share = np.diag(whole)[2:] / whole[0, 0]
-        sd = np.sqrt(np.maximum(share * (1.0 - share), 0.0))
-        scale = np.where(sd > 0, 1.0 / np.where(sd > 0, sd, 1.0), 0.0)
-        outer = _Sums(whole, scale)
-        tops = np.abs(outer.cross).max() / ratios
-        grid = tops[:, None] * steps[None, :]
-        rows, means = [], np.zeros(grid.shape)
-        parts = [(_Sums(whole - held[g], scale), _Sums(held[g], scale)) for g in range(1, inner_cv + 1)]
-        for g, (own, other) in enumerate(parts, start=1):
-            found, done = descend(np.repeat(own.gram[None], len(ratios), 0), np.repeat(own.cross[None], len(ratios), 0), grid, ratios, max_iter)
+        """All fits of one repeat at once: short loops over long arrays."""
+        repeat = int(frame["repeat"].iloc[0])
+        cells_of = np.zeros((splits + 1, inner_cv + 1, size + 2, size + 2))
+        np.add.at(cells_of, (frame["fold"], frame["inner_fold"], frame["i"], frame["j"]), frame["total"])
+        cells_of += np.triu(cells_of, 1).swapaxes(-1, -2)
+        everything = cells_of.sum(axis=0)
+        outers, parts, grids = [], [], []
+        for fold in range(1, splits + 1):
+            held = everything - cells_of[fold]
+            whole = held.sum(axis=0)
+            share = np.diag(whole)[2:] / max(whole[0, 0], 1.0)
+            sd = np.sqrt(np.maximum(share * (1.0 - share), 0.0))
+            scale = np.where(sd > 0, 1.0 / np.where(sd > 0, sd, 1.0), 0.0)
+            outers.append(_Sums(whole, scale))
+            grids.append(np.abs(outers[-1].cross).max() / ratios[:, None] * steps[None, :])
+            parts += [(_Sums(whole - held[g], scale), _Sums(held[g], scale)) for g in range(1, inner_cv + 1)]
+        many = len(ratios)
+        found, done = descend(
+            np.repeat(np.stack([own.gram for own, _ in parts]), many, axis=0),
+            np.repeat(np.stack([own.cross for own, _ in parts]), many, axis=0),
+            np.concatenate([grid for grid in grids for _ in range(inner_cv)]),
+            np.tile(ratios, len(parts)),
+            max_iter,
+        )
+        rows, means = [], np.zeros((splits, many, strengths))
+        for at, (own, other) in enumerate(parts):
+            fit, g = divmod(at, inner_cv)
             for k, ratio in enumerate(ratios):
-                errors = other.error(found[k], own.mean_y - found[k] @ own.mean_x)
-                means[k] += errors / inner_cv
-                rows.append(pd.DataFrame({"kind": "score", "alpha": grid[k], "l1_ratio": ratio, "inner_fold": g, "score": errors, "converged": done[k], "code": -1, "coef": 0.0}))
-        k, step = np.unravel_index(int(np.argmin(means)), means.shape)
-        path, done = descend(outer.gram[None], outer.cross[None], grid[k : k + 1, : step + 1], ratios[k : k + 1], max_iter)
-        beta = path[0, -1]
-        intercept = outer.mean_y - beta @ outer.mean_x
-        codes = np.concatenate([[-1], np.flatnonzero(beta)])
-        values = np.concatenate([[intercept], beta[beta != 0]])
-        rows.append(pd.DataFrame({"kind": "coef", "alpha": grid[k, step], "l1_ratio": ratios[k], "inner_fold": 0, "score": means[k, step], "converged": bool(done[0, -1]), "code": codes, "coef": values}))
-        out = pd.concat(rows)
-        out.insert(0, "fit_id", fit_id)
-        return out
-
-    fits = cells.withColumn("fit_fold", F.explode(F.sequence(F.lit(1), F.lit(splits))))
-    fits = fits.withColumn("fit_id", (F.col("repeat") * splits + F.col("fit_fold")).cast("int"))
-    return fits.groupBy("fit_id").applyInPandas(run, SOLVED)
+                beta = found[at * many + k]
+                errors = other.error(beta, own.mean_y - beta @ own.mean_x)
+                means[fit, k] += errors / inner_cv
+                scored = {"alpha": grids[fit][k], "l1_ratio": ratio, "inner_fold": g + 1, "score": errors, "converged": done[at * many + k]}
+                rows.append(pd.DataFrame({"fit_id": repeat * splits + fit + 1, "kind": "score", **scored, "code": -1, "coef": 0.0}))
+        best = [np.unravel_index(int(np.argmin(m)), m.shape) for m in means]
+        paths, done = descend(
+            np.stack([o.gram for o in outers]),
+            np.stack([o.cross for o in outers]),
+            np.stack([grids[fit][k] for fit, (k, _) in enumerate(best)]),
+            np.array([ratios[k] for k, _ in best]),
+            max_iter,
+        )
+        for fit, (k, step) in enumerate(best):
+            beta = paths[fit, step]
+            codes = np.concatenate([[-1], np.flatnonzero(beta)])
+            values = np.concatenate([[outers[fit].mean_y - beta @ outers[fit].mean_x], beta[beta != 0]])
+            chosen = {"alpha": grids[fit][k, step], "l1_ratio": ratios[k], "inner_fold": 0, "score": means[fit, k, step], "converged": bool(done[fit, step])}
+            rows.append(pd.DataFrame({"fit_id": repeat * splits + fit + 1, "kind": "coef", **chosen, "code": codes, "coef": values}))
+        return pd.concat(rows)
+
+    return cells.groupBy("repeat").applyInPandas(run, SOLVED)
 
 
 def predict_held_out(table: DataFrame, coefs: dict[int, tuple[float, dict[int, float]]], splits: int) -> DataFrame:
