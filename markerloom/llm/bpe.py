@@ -1,7 +1,7 @@
 """Byte-level BPE by ranks (operator 3): distinct words are merged in Spark, documents are put together from them.
 
 The merges of a word are a fold of Spark's higher-order functions over its
-array of bytes, by a literal map of ranked pairs. The most frequent distinct
+array of bytes, by a constant map of ranked pairs. The most frequent distinct
 words of all documents are merged once and sent along, a table of bounded size;
 every other word is merged in the row of the lot of documents it stands in,
 once per lot. Decoding concatenates the byte strings of the ids.
@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markerloom.llm.common import Batches, arrow_schema, keyed_texts
@@ -90,36 +89,42 @@ def _settle(held: list, pair: tuple[int, int], size: int) -> bool:
     return False
 
 
-def _literal(values: list[int | None], kind: str) -> Column:
-    """A long list as one constant; the optimizer evaluates it once."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
-
-
 class Merges:
-    """The merges as Spark expressions with literal tables."""
+    """The merges as Spark expressions over one constant, the rank map of pairs.
 
-    def __init__(self, path: str) -> None:
+    The constant is an uncorrelated scalar subquery: as a plain literal of this
+    length it would be printed with every plan, and read anew entry by entry in
+    every task.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
         ranks, pairs = read_ranks(path), pairs_of(path)
         keys, values = pair_table(path)
         self.size = len(keys)
         single = [ranks[bytes([b])] for b in range(256)]
         first = [pairs.get((left, right)) for left in single for right in single]
-        self.keys, self.values = _literal(keys, "bigint"), _literal(values, "int")
-        self.bytes, self.first = _literal(single, "int"), _literal(first, "int")
+        schema = "keys array<bigint>, values array<int>, bytes array<int>, first array<int>"
+        self.table = spark.createDataFrame([(keys, values, single, first)], schema).select(F.struct("*")).scalar()
+
+    def applied(self, rows: DataFrame, words: str | Column, *kept: str) -> DataFrame:
+        """The kept columns of ``rows``, and ``merged``: the ids of every word of an array of byte arrays."""
+        named = rows.select(*kept, (F.col(words) if isinstance(words, str) else words).alias("_words"), self.table.alias("_table"))
+        merged = _let(F.col("_table"), lambda table: F.transform("_words", lambda word: self._ids(table, word)))
+        return named.select(*kept, merged.alias("merged"))
 
-    def rank(self, left: Column, right: Column) -> Column:
+    def _rank(self, table: Column, left: Column, right: Column) -> Column:
         """Rank of the pair, null if nothing joins it."""
         key = F.shiftleft(left.cast("long"), 20).bitwiseOR(right)
         one, two = _places(left, right, self.size)
-        found = F.when(F.get(self.keys, one) == key, F.get(self.values, one))
-        return found.when(F.get(self.keys, two) == key, F.get(self.values, two))
+        found = F.when(F.get(table["keys"], one) == key, F.get(table["values"], one))
+        return found.when(F.get(table["keys"], two) == key, F.get(table["values"], two))
 
-    def ids(self, word: Column) -> Column:
+    def _ids(self, table: Column, word: Column) -> Column:
         """Ids of a word given as an array of byte values: the lowest pair is joined again and again, the leftmost of equals first."""
         first = F.struct(
-            F.transform(word, lambda b: F.get(self.bytes, b)).alias("parts"),
+            F.transform(word, lambda b: F.get(table["bytes"], b)).alias("parts"),
             F.transform(
-                F.slice(word, F.lit(1), F.size(word) - 1), lambda b, i: F.get(self.first, b * 256 + F.get(word, i + 1))
+                F.slice(word, F.lit(1), F.size(word) - 1), lambda b, i: F.get(table["first"], b * 256 + F.get(word, i + 1))
             ).alias("ranks"),
         )
 
@@ -129,18 +134,18 @@ class Merges:
             return _let(
                 F.array_min(placed),
                 lambda least: F.when(least.isNull(), held).otherwise(
-                    self._replaced(held["parts"], held["ranks"], F.shiftright(least, 8), least.bitwiseAND(F.lit(255)) + 1)
+                    self._replaced(table, held["parts"], held["ranks"], F.shiftright(least, 8), least.bitwiseAND(F.lit(255)) + 1)
                 ),
             )
 
         rounds = F.slice(word, F.lit(2), F.size(word))
         return F.when(F.size(word) > 0, F.aggregate(rounds, first, join, lambda held: held["parts"])).otherwise(word)
 
-    def _replaced(self, parts: Column, ranks: Column, least: Column, at: Column) -> Column:
+    def _replaced(self, table: Column, parts: Column, ranks: Column, least: Column, at: Column) -> Column:
         """Parts with the pair at ``at`` (from 1) made one, and ranks with both neighbours renewed."""
         nothing = F.array().cast("array<int>")
-        before = F.when(at > 1, F.array(self.rank(F.get(parts, at - 2), least))).otherwise(nothing)
-        after = F.when(at + 1 < F.size(parts), F.array(self.rank(least, F.get(parts, at + 1)))).otherwise(nothing)
+        before = F.when(at > 1, F.array(self._rank(table, F.get(parts, at - 2), least))).otherwise(nothing)
+        after = F.when(at + 1 < F.size(parts), F.array(self._rank(table, least, F.get(parts, at + 1)))).otherwise(nothing)
         left = F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0)))
         return F.struct(
             F.concat(F.slice(parts, F.lit(1), at - 1), F.array(least), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
@@ -202,8 +207,10 @@ def frequent_words(texts: DataFrame, path: str, limit: int = FREQUENT_WORDS) ->
     tokens = spark.createDataFrame([(t,) for t in read_ranks(path)], "token binary")
     short = word_counts(texts).filter(F.octet_length("word") <= FREQUENT_BYTES).withColumn("token", F.encode("word", "UTF-8"))
     top = short.join(F.broadcast(tokens), "token", "left_anti").orderBy(F.desc("n"), "word").limit(limit)
-    merged = top.repartition(spark.sparkContext.defaultParallelism, "word").select("word", Merges(path).ids(_byte_values(F.col("token"))).alias("ids"))
-    return {r["word"]: r["ids"] for r in merged.collect()}
+    lots = top.withColumn("lot", F.pmod(F.xxhash64("word"), F.lit(64))).groupBy("lot").agg(F.collect_list("word").alias("words"))
+    bytes_of = F.transform("words", lambda word: _byte_values(F.encode(word, "UTF-8")))
+    merged = Merges(spark, path).applied(lots, bytes_of, "words")
+    return {word: ids for r in merged.collect() for word, ids in zip(r["words"], r["merged"], strict=True)}
 
 
 def _byte_values(binary: Column) -> Column:
@@ -290,9 +297,8 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", ranks:
     texts = keyed_texts(documents, key, text)
     table = texts.sparkSession.sparkContext.broadcast(frequent_words(texts, path, frequent))
     lots = _lots(texts, path, table)
-    merges = Merges(path)
-    merged = lots.select("doc_ids", "n_words", "number", "sizes", "known", F.transform("rare", merges.ids).alias("merged"))
-    return _assembled(merged)
+    merges = Merges(texts.sparkSession, path)
+    return _assembled(merges.applied(lots, "rare", "doc_ids", "n_words", "number", "sizes", "known"))
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
