@@ -174,8 +174,9 @@ def _looks_like_record(source: Source) -> bool:
         while len(plain) < len(VERSION) and not decoder.eof:
             if at >= len(source.held) and not source.more():
                 return False
-            plain += decoder.decompress(source.held[at : at + 512], 64)
-            at += 512
+            piece = source.held[at : at + 512]
+            plain += decoder.decompress(piece, 64)
+            at += len(piece)
     except zlib.error:
         return False
     return plain.startswith(VERSION)
@@ -198,9 +199,9 @@ def _decode(source: Source) -> Record:
     return found
 
 
-def records_in_range(stream, begin: int, end: int) -> Iterator[Record]:
-    """Records that begin at ``begin`` or later and before ``end``."""
-    source = Source(stream, begin)
+def records_in_range(stream, begin: int, end: int, block: int = BLOCK) -> Iterator[Record]:
+    """Records that begin at ``begin`` or later and before ``end``, read ``block`` bytes at a time."""
+    source = Source(stream, begin, block)
     while source.place < end:
         at = source.held.find(GZIP_MAGIC)
         if at < 0:

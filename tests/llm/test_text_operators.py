@@ -224,6 +224,22 @@ def test_false_magic_is_passed_over():
         assert places == [0, len(member), 2 * len(member)]
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 13, 100, 513, 5000])
+def test_no_record_is_lost_at_the_end_of_a_block(block):
+    rng = random.Random(block)
+    members, places, at = [], [], 0
+    for i in range(60):
+        html = "".join(rng.choice("abc <>é") for _ in range(rng.randint(0, 900))).encode()
+        members.append(warc._member(warc.record(i, f"u{i}", html, hashlib.sha1(html).hexdigest(), None, "2000-01-01T00:00:00Z")))
+        places.append(at)
+        at += len(members[-1])
+    whole = b"".join(members)
+    for size in (777, 4096, len(whole)):
+        found = [r for b in range(0, len(whole), size) for r in warc.records_in_range(_Bytes(whole), b, min(b + size, len(whole)), block)]
+        assert [r.place for r in found] == places
+        assert [warc._page(r)[0] for r in found] == list(range(60))
+
+
 # Near-duplicates
 
 
