@@ -192,7 +192,11 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     All columns are kept. Rows that repeat both key and text count as one.
     """
-    found = near_duplicates(documents, key, text)
+    return keep_best(documents, near_duplicates(documents, key, text), key, text)
+
+
+def keep_best(documents: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The best row of each ``root`` of ``found``, which has ``doc_id, tie, root`` of every row of ``documents``."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     best = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_doc"), F.col("best.tie").alias("_tie"))
     # The hash is Spark's own of the same bytes, with the seed that the fingerprints' hash has.
