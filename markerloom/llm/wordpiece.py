@@ -4,7 +4,9 @@ A word's pieces are the longest vocabulary entry at its beginning, then the
 longest continuing entry, and so on. The trie of all entries has failure links:
 where no edge goes on, the entries already certain are popped and the rest of
 what was read stands at the link's end. Only how many are popped is stored, so
-a word is read once, letter by letter, and no piece is built.
+a word is read once, letter by letter, and no piece is built. The bare word mark
+is an entry, too: where no longer one begins the word, it is the first piece and
+continuing entries spell the whole word.
 """
 
 from __future__ import annotations
@@ -28,7 +30,11 @@ COUNTS = "doc_id long, n_words long, n_tokens long, n_unknown long"
 
 
 def read_pieces(path: str) -> tuple[list[str], list[str]]:
-    """Entries that begin a word and entries that continue one; control, unknown and byte entries are left out."""
+    """Entries that begin a word and entries that continue one; control, unknown and byte entries are left out.
+
+    The empty beginning entry stands for the bare word mark. Byte entries are no text: with them
+    no word would be outside the vocabulary, and ``n_unknown`` counts just these words.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -41,7 +47,7 @@ def read_pieces(path: str) -> tuple[list[str], list[str]]:
             begin.add(piece[1:])
         else:
             go_on.add(piece)
-    usable = lambda entries: sorted(x for x in entries if x and WORD_BEGIN not in x)
+    usable = lambda entries: sorted(x for x in entries if WORD_BEGIN not in x)
     return usable(begin), usable(go_on)
 
 
@@ -66,6 +72,8 @@ class LongestMatch:
                 whole[node] = True
         self.link: list[int] = [-1] * len(self.edges)
         self.popped: list[int] = [0] * len(self.edges)
+        if "" in begin:
+            self.link[self.BEGIN], self.popped[self.BEGIN] = self.AFTER, 1
         waiting = deque([self.BEGIN, self.AFTER])
         while waiting:
             parent = waiting.popleft()

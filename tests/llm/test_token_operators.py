@@ -190,6 +190,47 @@ def test_word_piece_counts(documents):
     assert got == sorted(wanted, key=str)
 
 
+def test_words_that_only_the_bare_mark_begins(spark):
+    """Against the entries of the file itself: longest match over the marked word."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(wordpiece.PIECES))
+    special = (model.is_control, model.is_unknown, model.is_byte, model.is_unused)
+    entries = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not any(f(i) for f in special)}
+    assert {"▁", "ñ", "中"} <= entries and not {"▁ñ", "▁中", "\U0001F9FF"} & entries
+
+    def pieces(word):
+        rest, count = "▁" + word, 0
+        while rest:
+            end = next((e for e in range(len(rest), 0, -1) if rest[:e] in entries), None)
+            if end is None:
+                return -1
+            rest, count = rest[end:], count + 1
+        return count
+
+    rng = random.Random(9)
+    letters = [e for e in sorted(entries) if len(e) == 1 and e != "▁" and not e.isspace()]
+    words = ["ñes", "中国人民大学", "ça", "ß", "the", "😀", "\U0001F9FF", "a\U0001F9FF", "ñ\U0001F9FF"]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(2000)]
+    got = [wordpiece.counter(public_tokenizers.path(wordpiece.PIECES)).automaton.count(w) for w in words]
+    assert got == list(map(pieces, words)) and got[0] == 3 and got[1] == 7
+    [row] = wordpiece.token_counts(spark.createDataFrame([(1, "ñes 中 \U0001F9FF")], "doc_id long, text string")).collect()
+    assert tuple(row) == (1, 3, 3 + 2 + 1, 1)
+
+
+def test_automaton_with_a_bare_mark_counts_the_greedy_pieces():
+    rng = random.Random(8)
+    for _ in range(300):
+        made = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12))]
+        begin, go_on = set(made[::2]) | {""}, set(made[1::2])
+        automaton = wordpiece.LongestMatch(sorted(begin), sorted(go_on))
+        for _ in range(40):
+            word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))
+            first = next((e for e in range(len(word), 0, -1) if word[:e] in begin), 0)
+            rest = greedy(word[first:], go_on, go_on)
+            assert automaton.count(word) == (-1 if rest < 0 else 1 + rest)
+
+
 def test_query_digests(spark):
     from markerloom.llm import catalog
 
