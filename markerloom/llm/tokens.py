@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -23,7 +24,8 @@ class TextEncoder:
     """The ``tokenizers`` library on distinct words.
 
     Byte-level BPE never merges across words, so the ids of a text are those of
-    its words one after another; control strings count as ordinary text.
+    its words one after another. The file's added tokens are cut out before and
+    give their own ids, as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
     """
 
     def __init__(self, path: str) -> None:
@@ -33,12 +35,29 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = WordCache(self._encode)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take neighbouring characters are not supported")
+        self.added = {t.content: np.array([i], dtype=np.uint32) for i, t in added.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(x.ids, dtype=np.uint32) for x in found]
 
     def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
+        whole = [bool(self.cut and self.cut.search(t)) for t in texts]
+        if not any(whole):
+            yield from self._encode_plain(texts)
+            return
+        # Odd pieces of a cut text are added tokens.
+        pieces = [self.cut.split(t) if w else [t] for t, w in zip(texts, whole, strict=True)]
+        plain = self._encode_plain([x for p in pieces for x in p[::2]])
+        for p in pieces:
+            yield np.concatenate([self.added[x] if i % 2 else next(plain) for i, x in enumerate(p)])
+
+    def _encode_plain(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
         for begin, end in in_groups(texts):
             words, number, counts = split_words(texts[begin:end])
             ids, sizes = gather(self.words.get(words), number)

@@ -13,6 +13,7 @@ import regex
 import tiktoken
 from markerloom.llm import bpe, frames, packing, wordpiece
 from markerloom.llm.pretokens import split_blank_words, split_words
+from markerloom.llm.tokens import encoder
 from tokenizers import Tokenizer
 
 SCHEMA = "doc_id long, text string, ids string, part string"
@@ -79,6 +80,21 @@ def test_packing_covers_every_id_once(documents, tokenizer):
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in packed)
 
 
+def test_added_tokens_get_the_ids_of_the_library(spark, tmp_path):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"{end}{end} x{end}", f"it's{end}s ", f"  {end}  ", "<|endoftext", "<|ENDOFTEXT|>", "", f"<|{end}|>"]
+    wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)] == wanted
+    assert wanted[0] == [50256]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    back = frames.read_frames(frames.write_frames(rows, folder=str(tmp_path / "frames"))).collect()
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in back}
+    assert got == {i: [*ids, 0] for i, ids in enumerate(wanted)}
+    packed = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pack(rows).collect()}
+    assert packed == {i: [*ids, 1] for i, ids in enumerate(wanted)}
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert packing.pack(none).count() == 0
