@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerloom.llm import bpe, chat, frames, ordermin, packing, pii, quality, simhash, warc, wordpiece
+from markerloom.llm import bpe, chat, frames, language, merkle, negatives, ordermin, packing, pii, quality, simhash, warc, wordpiece
 from markerloom.sources.tables import table
 
 #: A conversation whose texts look like another template's marks; added to the table.
@@ -94,6 +94,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(documents(spark, sf_dir))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    known = language.prototypes(docs, ~language.held_out(F.col("doc_id")))
+    found = language.predict(docs, known)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    tampered = {"n_chars": F.when(chosen, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    found = merkle.manifest(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.whole_vectors(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 CHAT_SQL = """
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -124,6 +144,64 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN g USING (payload_digest)
 """
 
+MERKLE_SQL = """
+WITH RECURSIVE l AS (
+  SELECT doc_id, lang, head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail AS whole,
+    head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail AS other,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::BIGINT)),
+        lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc
+  FROM (SELECT doc_id, lang, n_chars, CAST(doc_id AS VARCHAR) AS name,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents)),
+r AS (
+  SELECT doc_id, lang, sha256(whole) AS leaf, CASE WHEN crc % 7 = 0 THEN sha256(other) ELSE sha256(whole) END AS start,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS m FROM l),
+t AS (
+  SELECT lang, 0 AS level, r AS k, m, leaf AS d FROM r UNION ALL
+  SELECT lang, level + 1, k // 2, (m + 1) // 2, sha256(string_agg(d, '' ORDER BY k)) FROM t WHERE m > 1 GROUP BY lang, level, k // 2, m),
+s AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, count(*) OVER () AS m FROM t WHERE m = 1),
+u AS (
+  SELECT 0 AS level, r AS k, m, subroot AS d FROM s UNION ALL
+  SELECT level + 1, k // 2, (m + 1) // 2, sha256(string_agg(d, '' ORDER BY k)) FROM u WHERE m > 1 GROUP BY level, k // 2, m),
+steps AS (
+  SELECT r.doc_id, own.level AS step, CASE WHEN other.d IS NULL THEN 'N' WHEN other.k < own.k THEN 'L' ELSE 'R' END AS side, coalesce(other.d, '') AS d
+  FROM r JOIN t own ON own.lang IS NOT DISTINCT FROM r.lang AND own.k = r.r >> own.level AND own.m > 1
+  LEFT JOIN t other ON other.lang IS NOT DISTINCT FROM own.lang AND other.level = own.level AND other.k = xor(own.k, 1)
+  UNION ALL
+  SELECT r.doc_id, 1000 + own.level, CASE WHEN other.d IS NULL THEN 'N' WHEN other.k < own.k THEN 'L' ELSE 'R' END, coalesce(other.d, '')
+  FROM r JOIN s ON s.lang IS NOT DISTINCT FROM r.lang JOIN u own ON own.k = s.r >> own.level AND own.m > 1
+  LEFT JOIN u other ON other.level = own.level AND other.k = xor(own.k, 1)),
+p AS (SELECT doc_id, list(side || d ORDER BY step) AS path FROM steps GROUP BY doc_id),
+f AS (
+  SELECT r.doc_id, leaf, subroot, (SELECT d FROM u WHERE m = 1) AS root,
+    sha256(array_to_string(list_transform(coalesce(path, []), lambda x: x[2:]), '')) AS proof_sha256,
+    list_reduce(list_prepend(start, coalesce(path, [])),
+      lambda a, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || a WHEN 'R' THEN a || x[2:] ELSE a END)) AS folded_root
+  FROM r JOIN s ON s.lang IS NOT DISTINCT FROM r.lang LEFT JOIN p ON p.doc_id = r.doc_id)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -137,6 +215,14 @@ QUERIES = {
         op8_simhash,
         op9_quality_rules,
         op10_token_counts,
+        op11_language_id,
+        op12_merkle_manifest,
+        op13_hard_negatives,
     )
 }
-ORACLES = {"op2_chat_formatting": CHAT_SQL, "op7_warc": WARC_SQL}
+ORACLES = {
+    "op2_chat_formatting": CHAT_SQL,
+    "op7_warc": WARC_SQL,
+    "op12_merkle_manifest": MERKLE_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
+}
