@@ -41,8 +41,8 @@ def moment_cells(table: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             rows = np.zeros((len(batch), size + 2))
             rows[:, 0], rows[:, 1] = 1.0, batch["y"]
-            for k, codes in enumerate(batch["codes"]):
-                rows[k, codes.astype(np.int64) + 2] = 1.0
+            sizes = batch["codes"].map(len).to_numpy()
+            rows[np.repeat(np.arange(len(batch)), sizes), np.concatenate([np.zeros(0, dtype=np.int64), *batch["codes"]]).astype(np.int64) + 2] = 1.0
             folds, inner = (np.stack(batch[c].to_numpy()) for c in ("fold_of", "inner_of"))
             for repeat in range(folds.shape[1]):
                 cells = pd.DataFrame({"f": folds[:, repeat], "g": inner[:, repeat]})
@@ -178,25 +178,3 @@ def solve_fits(cells: DataFrame, size: int, splits: int, inner_cv: int, l1_ratio
         return pd.concat(rows)
 
     return cells.groupBy("repeat").applyInPandas(run, SOLVED)
-
-
-def predict_held_out(table: DataFrame, coefs: dict[int, tuple[float, dict[int, float]]], splits: int) -> DataFrame:
-    """``fit_id, sample_id, y_true, y_pred`` of every sample and repeat in one scan.
-
-    ``coefs`` has intercept and coefficient per unscaled feature of each fit:
-    bounded by fits times features.
-    """
-    schema = "fit_id int, sample_id string, y_true double, y_pred double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for sample, y, codes, folds in zip(batch["sample_id"], batch["y"], batch["codes"], batch["fold_of"], strict=True):
-                for repeat, fold in enumerate(folds):
-                    fit_id = int(repeat * splits + fold)
-                    intercept, slopes = coefs[fit_id]
-                    out.append((fit_id, sample, y, intercept + sum(slopes.get(int(c), 0.0) for c in codes)))
-            yield pd.DataFrame(out, columns=["fit_id", "sample_id", "y_true", "y_pred"])
-
-    lean = table.select("sample_id", "y", F.unwrap_udt("features").getField("indices").alias("codes"), "fold_of")
-    return lean.mapInPandas(run, schema)

@@ -1,9 +1,11 @@
 """Elastic-net models under repeated nested cross-validation.
 
 Vectors are assembled once, with each sample's outer and inner fold of every
-repeat in two short arrays, so a training set is a filter on one written table
-and never a join. Means and SDs of all fits come from one pass as well. The
-fits themselves are Spark ML fits, started from a small thread pool.
+repeat in two short arrays, so a training set is a mark on one written table
+and never a join. Means and SDs of all fits come from one pass as well. All
+fits then walk down their penalties together (``paths``); a linear net with few
+features is solved from sums of products instead (``moments``), to the same
+optimum. ``logistic_fit`` and ``linear_fit`` are single fits by Spark ML.
 
 Scaling: 0/1 columns are divided by their training SD and not centred. An
 unpenalised intercept absorbs the shift, so the coefficients are those of
@@ -13,26 +15,21 @@ standardised columns while the vectors stay sparse.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import ElementwiseProduct
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from markerloom.operators import moments
+from markerloom.operators import moments, paths
 from markerloom.operators.folds import repeated_folds
-from markerloom.operators.metrics import log_loss, roc_auc
 from markerloom.operators.presence import encode_items, names_literal
-from markerloom.operators.stability import choose_hyper
-from markerloom.session import scratch_path, written
+from markerloom.session import written
 
 # The full l1 grid, the range of the C grid and the alpha span.
 FULL_L1_RATIOS = (0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 0.95)
@@ -41,7 +38,6 @@ ALPHA_SPAN = 1e-3
 
 COARSE_L1_RATIOS = (0.1, 0.5, 0.95)
 COARSE_STRENGTHS = 5
-SCORED_TOGETHER = 16
 # The quasi-Newton steps of a linear fit stop on the relative change of the loss.
 LINEAR_TOLERANCE = 1e-10
 
@@ -77,7 +73,6 @@ class NetSettings:
     l1_ratios: Sequence[float] = FULL_L1_RATIOS
     max_iter: int = 20_000
     tol: float = 1e-6
-    parallelism: int = 4
 
     @classmethod
     def coarse(cls, **more: object) -> NetSettings:
@@ -101,12 +96,6 @@ class Prepared:
     def spark(self) -> SparkSession:
         return self.table.sparkSession
 
-    def where(self, fit_id: int) -> tuple[Column, Column, Column]:
-        """Train mark, test mark and inner fold of a fit."""
-        repeat, fold = divmod(fit_id - 1, self.settings.outer_splits)
-        held = F.element_at("fold_of", repeat + 1) == fold + 1
-        return ~held, held, F.element_at("inner_of", repeat + 1)
-
     @property
     def fits(self) -> range:
         return range(1, self.settings.total_fits + 1)
@@ -179,19 +168,11 @@ def training_stats(prepared: Prepared) -> DataFrame:
     )
 
 
-def _scales(stats: DataFrame, fit_id: int, size: int) -> DenseVector:
-    """1/SD per feature for a fit; 0 for a constant feature, which is then never selected."""
-    scale = [0.0] * size
-    for row in stats.filter(F.col("fit_id") == fit_id).select("code", "sd").collect():
-        scale[row.code] = 1.0 / row.sd if row.sd > 0 else 0.0
-    return DenseVector(scale)
-
-
-def _scaled(prepared: Prepared, stats: DataFrame, fit_id: int) -> DataFrame:
-    product = ElementwiseProduct(
-        scalingVec=_scales(stats, fit_id, len(prepared.vocab)), inputCol="features", outputCol="x"
-    )
-    return product.transform(prepared.table)
+def _scale_table(stats: pd.DataFrame, fits: int, size: int) -> np.ndarray:
+    """1/SD per fit and feature; 0 for a constant feature, which is then never selected."""
+    scale, known = np.zeros((fits, size)), stats[stats["sd"] > 0]
+    scale[known["fit_id"] - 1, known["code"]] = 1.0 / known["sd"]
+    return scale
 
 
 def balanced_weights(counts: dict[int, int]) -> dict[int, float]:
@@ -248,18 +229,6 @@ def linear_fit(train: DataFrame, alpha: float, l1: float, sd_y: float, settings:
     return model.fit(train)
 
 
-def _pool(tasks: Sequence, run: Callable, parallelism: int) -> list:
-    with ThreadPoolExecutor(max(parallelism, 1)) as pool:
-        return list(pool.map(run, tasks))
-
-
-def _stacked(frames: Sequence[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
-
-
 def _cells(prepared: Prepared, *keys: str) -> DataFrame:
     """Rows and outcome sums per (repeat, outer fold, inner fold), all fits in one aggregate."""
     zipped = F.arrays_zip("fold_of", "inner_of")
@@ -285,32 +254,19 @@ def _class_counts(prepared: Prepared) -> dict[tuple[int, int], dict[int, int]]:
     return out
 
 
-def _outcome_sds(prepared: Prepared) -> dict[tuple[int, int], float]:
-    """Sample SD of the outcome for (fit, inner fold left out); 0 leaves none out."""
-    splits = prepared.settings.outer_splits
-    sums: dict[tuple[int, int], list[float]] = {}
+def _outcome_cells(prepared: Prepared) -> tuple[np.ndarray, float]:
+    """Training rows for (fit, inner fold left out; 0 leaves none out), and the SD of the outcome over all rows."""
+    settings = prepared.settings
+    total = np.zeros((settings.total_fits, settings.inner_cv + 1))
+    whole = np.zeros(3)
     for row in _cells(prepared).collect():
-        for fold in range(1, splits + 1):
-            if fold == row.fold:
-                continue
-            for g in range(prepared.settings.inner_cv + 1):
-                if g != row.inner_fold:
-                    total = sums.setdefault((row.repeat * splits + fold, g), [0.0, 0.0, 0.0])
-                    total[0] += row.n
-                    total[1] += row.s
-                    total[2] += row.q
-    return {key: math.sqrt(max(q - s * s / n, 0.0) / max(n - 1, 1)) for key, (n, s, q) in sums.items()}
-
-
-def _weighted(df: DataFrame, weights: dict[int, float]) -> DataFrame:
-    weight = F.lit(1.0)
-    for code, value in sorted(weights.items()):
-        weight = F.when(F.col("y") == code, F.lit(float(value))).otherwise(weight)
-    return df.withColumn("weight", weight)
-
-
-def _probability(column: str = "probability") -> Column:
-    return vector_to_array(column)
+        whole += (row.n, row.s, row.q)
+        for fold in range(1, settings.outer_splits + 1):
+            if fold != row.fold:
+                for g in range(settings.inner_cv + 1):
+                    total[row.repeat * settings.outer_splits + fold - 1, g] += row.n * (g != row.inner_fold)
+    n, s, q = whole
+    return total, math.sqrt(max(q - s * s / n, 0.0) / n)
 
 
 @dataclass
@@ -323,90 +279,100 @@ class NetFits:
     best: DataFrame  # fit_id, best_<strength>, best_l1_ratio, mean_score
 
 
+def _grid(prepared: Prepared, family: str, strengths: np.ndarray, total: np.ndarray, weight: np.ndarray, stats: pd.DataFrame, spread: float = 1.0) -> paths.Grid:
+    """``strengths (fit, g, l1, step)`` are penalties of the mean loss."""
+    settings = prepared.settings
+    return paths.Grid(
+        family, settings.outer_splits, settings.inner_cv, np.array(sorted(settings.l1_ratios)), strengths, total,
+        _scale_table(stats, settings.total_fits, len(prepared.vocab)), weight, spread,
+        max(settings.tol, 1e-9), settings.max_iter,
+    )
+
+
+def _as_fits(prepared: Prepared, grid: paths.Grid, solved: paths.Solved, strength: str, values: np.ndarray, first_class: int) -> tuple[NetFits, DataFrame]:
+    """Result tables, and the held-out linear predictors. ``values (fit, l1, step)`` are the strengths by name."""
+    spark, ratios = prepared.spark, grid.l1_ratios
+    fit, g, k, step = (a.ravel() for a in np.indices(solved.score.shape))
+    inside = g > 0
+    fit, g, k, step = fit[inside], g[inside], k[inside], step[inside]
+    scores = pd.DataFrame({
+        "fit_id": fit + 1, strength: values[fit, k, step], "l1_ratio": ratios[k], "inner_fold": g,
+        "score": solved.score[fit, g, k, step], "converged": solved.converged[fit, g, k, step],
+    })
+    which = np.array(solved.best)
+    best = pd.DataFrame({
+        "fit_id": np.arange(1, grid.fits + 1), f"best_{strength}": values[np.arange(grid.fits), which[:, 0], which[:, 1]],
+        "best_l1_ratio": ratios[which[:, 0]], "mean_score": solved.mean_score,
+        "converged": solved.converged[np.arange(grid.fits), 0, which[:, 0], which[:, 1]],
+    })
+    at, lane, code = np.nonzero(solved.coef[..., :-1])
+    names = np.array(prepared.vocab, dtype=object)
+    coef = pd.DataFrame({"class": lane + first_class, "feature": names[code], "coef": solved.coef[at, lane, code], "fit_id": at + 1})
+    raw = solved.coef * np.concatenate([grid.scale, np.ones((grid.fits, 1))], axis=1)[:, None, :]
+    eta = paths.predict_held_out(prepared.table, raw, prepared.settings.outer_splits)
+    scored = _null_scores(spark.createDataFrame(scores, f"fit_id int, {strength} double, l1_ratio double, inner_fold int, score double, converged boolean"), "score")
+    chosen = spark.createDataFrame(best, f"fit_id int, best_{strength} double, best_l1_ratio double, mean_score double, converged boolean")
+    return NetFits(spark.createDataFrame(coef, "class int, feature string, coef double, fit_id int"), eta, scored, _null_scores(chosen, "mean_score")), eta
+
+
+def _null_scores(table: DataFrame, name: str) -> DataFrame:
+    """A score that is not defined is null, as everywhere else."""
+    return table.withColumn(name, F.when(~F.isnan(name), F.col(name)))
+
+
 def fit_logistic(prepared: Prepared, n_classes: int) -> NetFits:
-    """Inner search, refit and held-out prediction for every outer fit (V4, V5, V7-V9)."""
-    settings, spark = prepared.settings, prepared.spark
-    family = "binomial" if n_classes == 2 else "multinomial"
-    stats = written(training_stats(prepared), "scales")
+    """Inner search, refit and held-out prediction for every outer fit (V4, V5, V7-V9).
+
+    All grid points of all fits share scans, so their number grows with the
+    strengths and not with the fits. Two classes are scored by the area under
+    the curve, more by the mean log-likelihood.
+    """
+    settings = prepared.settings
+    family = paths.BINARY if n_classes == 2 else paths.MULTICLASS
     counts = _class_counts(prepared)
-    grid = [(c, l1) for l1 in settings.l1_ratios for c in c_grid(settings.strengths)]
-    point = ["C", "l1_ratio", "g"]
-
-    def inner_score(held: DataFrame) -> DataFrame:
-        if n_classes == 2:
-            scored = held.select(*point, F.col("y").alias("y_true"), _probability()[1].alias("score"))
-            return roc_auc(scored, point).withColumnRenamed("auc", "score")
-        p_true = F.element_at(_probability(), F.col("y").cast("int") + 1)
-        losses = log_loss(held.select(*point, p_true.alias("p_true")), point)
-        return losses.select(*point, (-F.col("log_loss")).alias("score"))
-
-    def search(fit_id: int) -> list[tuple]:
-        train, _, inner = prepared.where(fit_id)
-        rows = _scaled(prepared, stats, fit_id).filter(train).select("y", "x", inner.alias("inner_fold"))
-        weights = balanced_weights(counts[fit_id, 0])
-        rows = _weighted(rows, weights).persist(StorageLevel.MEMORY_AND_DISK)
-        tasks = [(g, c, l1) for g in range(1, settings.inner_cv + 1) for c, l1 in grid]
-        out = []
-        for start in range(0, len(tasks), SCORED_TOGETHER):
-            scored = []
-            for g, c, l1 in tasks[start : start + SCORED_TOGETHER]:
-                total = sum(weights[k] * n for k, n in counts[fit_id, g].items())
-                model = logistic_fit(rows.filter(F.col("inner_fold") != g), c, l1, total, settings, family)
-                held = model.transform(rows.filter(F.col("inner_fold") == g))
-                scored.append(
-                    held.select("y", "probability", F.lit(c).alias("C"), F.lit(l1).alias("l1_ratio"), F.lit(g).alias("g"))
-                )
-            out += [(fit_id, r.C, r.l1_ratio, r.g, r.score) for r in inner_score(_stacked(scored)).collect()]
-        rows.unpersist()
-        return out
-
-    found = [row for rows in _pool(list(prepared.fits), search, settings.parallelism) for row in rows]
-    inner_scores = spark.createDataFrame(found, "fit_id int, C double, l1_ratio double, inner_fold int, score double")
-    best = written(choose_hyper(inner_scores, "C"), "best")
-    chosen = {row.fit_id: row for row in best.collect()}
-    predictions_path, coef_path = scratch_path(spark, "predictions"), scratch_path(spark, "coef")
-
-    def refit(fit_id: int) -> None:
-        train, held, _ = prepared.where(fit_id)
-        rows = _scaled(prepared, stats, fit_id)
-        n_train = float(sum(counts[fit_id, 0].values()))  # balanced weights add up to the row count
-        fitting = _weighted(rows.filter(train).select("y", "x"), balanced_weights(counts[fit_id, 0]))
-        model = logistic_fit(fitting, chosen[fit_id].best_C, chosen[fit_id].best_l1_ratio, n_train, settings, family)
-        probability = _probability()
-        model.transform(rows.filter(held)).select(
-            "sample_id",
-            F.col("y").cast("int").alias("y_true"),
-            (F.when(probability[1] >= 0.5, 1).otherwise(0) if n_classes == 2 else F.col("prediction").cast("int")).alias("y_pred"),
-            probability.alias("probability"),
-        ).write.parquet(f"{predictions_path}/fit_id={fit_id}")
-        matrix = [model.coefficients.toArray()] if n_classes == 2 else model.coefficientMatrix.toArray()
-        first = 1 if n_classes == 2 else 0
-        _write_coef(spark, f"{coef_path}/fit_id={fit_id}", prepared.vocab, matrix, first)
-
-    _pool(list(prepared.fits), refit, settings.parallelism)
-    return NetFits(
-        _read_fits(spark, coef_path, "class int, feature string, coef double"),
-        _read_fits(spark, predictions_path, "sample_id string, y_true int, y_pred int, probability array<double>"),
-        inner_scores,
-        best,
+    fits, sets = settings.total_fits, settings.inner_cv + 1
+    weight, total = np.zeros((fits, n_classes)), np.zeros((fits, sets))
+    for fit in range(fits):
+        own = balanced_weights(counts[fit + 1, 0])
+        weight[fit, list(own)] = list(own.values())
+        total[fit] = [sum(own[c] * n for c, n in counts.get((fit + 1, g), {}).items()) for g in range(sets)]
+    strengths = np.array(c_grid(settings.strengths))
+    many = len(settings.l1_ratios)
+    penalty = np.broadcast_to(1.0 / (strengths * np.maximum(total, 1e-300)[..., None])[:, :, None, :], (fits, sets, many, len(strengths)))
+    grid = _grid(prepared, family, penalty, total, weight, training_stats(prepared).select("fit_id", "code", "sd").toPandas())
+    solved = paths.solve_paths(prepared.table, grid, larger_is_better=True)
+    values = np.broadcast_to(strengths, (fits, many, len(strengths)))
+    found, eta = _as_fits(prepared, grid, solved, "C", values, 1 if n_classes == 2 else 0)
+    if n_classes == 2:
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("eta")[0]))
+        probability = F.array(F.lit(1.0) - p, p)
+        chosen = F.when(p >= 0.5, 1).otherwise(0)
+    else:
+        raised = F.transform("eta", lambda x: F.exp(x - F.array_max("eta")))
+        whole = F.aggregate(raised, F.lit(0.0), lambda total, x: total + x)
+        probability = F.transform(raised, lambda x: x / whole)
+        chosen = (F.array_position("eta", F.array_max("eta")) - 1).cast("int")
+    found.predictions = written(
+        eta.select("sample_id", F.col("y_true").cast("int").alias("y_true"), chosen.alias("y_pred"), probability.alias("probability"), "fit_id"), "predictions"
     )
+    return found
 
 
 def fit_linear(prepared: Prepared) -> NetFits:
     """The same for a continuous outcome, scored by mean squared error (V6-V9).
 
     Up to ``moments.MOMENT_FEATURES`` features the grid is solved from sums of
-    products, with a number of scans that the grid does not change; beyond that
-    those sums would be larger than the rows, and Spark's solver is used. Both
-    go to the same optimum.
+    products, in one scan; beyond that those sums would be larger than the rows,
+    and the paths are walked with screened working sets. Both go to the same
+    optimum and give the same columns.
     """
     if len(prepared.vocab) <= moments.MOMENT_FEATURES:
         return _fit_linear_moments(prepared)
-    return _fit_linear_rows(prepared)
+    return _fit_linear_paths(prepared)
 
 
 def _fit_linear_moments(prepared: Prepared) -> NetFits:
-    settings, spark, vocab = prepared.settings, prepared.spark, prepared.vocab
+    settings, vocab = prepared.settings, prepared.vocab
     cells = written(moments.moment_cells(prepared.table, len(vocab)), "moments")
     solved = written(
         moments.solve_fits(
@@ -415,19 +381,17 @@ def _fit_linear_moments(prepared: Prepared) -> NetFits:
         "solved",
     )
     refits = solved.filter("kind = 'coef'")
-    scales = {(r.fit_id, r.code): r.sd for r in training_stats(prepared).filter("sd > 0").select("fit_id", "code", "sd").collect()}
-    found: dict[int, tuple[float, dict[int, float]]] = {}
-    for r in refits.orderBy("fit_id", "code").collect():
-        if r.code < 0:
-            found[r.fit_id] = (r.coef, {})
-        else:
-            found[r.fit_id][1][r.code] = r.coef / scales[r.fit_id, r.code]
+    scale = _scale_table(training_stats(prepared).select("fit_id", "code", "sd").toPandas(), settings.total_fits, len(vocab))
+    raw, held = np.zeros((settings.total_fits, 1, len(vocab) + 1)), refits.select("fit_id", "code", "coef").toPandas()
+    # Code -1 is the intercept, in the last place.
+    raw[held["fit_id"] - 1, 0, held["code"]] = held["coef"]
+    raw[:, 0, :-1] *= scale
     names = names_literal(vocab)
     return NetFits(
         refits.filter("code >= 0").select(
             "fit_id", F.lit(0).alias("class"), F.element_at(names, F.col("code") + 1).alias("feature"), "coef"
         ),
-        written(moments.predict_held_out(prepared.table, found, settings.outer_splits), "predictions"),
+        _linear_predictions(paths.predict_held_out(prepared.table, raw, settings.outer_splits)),
         solved.filter("kind = 'score'").select("fit_id", "alpha", "l1_ratio", "inner_fold", "score", "converged"),
         refits.filter("code < 0").select(
             "fit_id", F.col("alpha").alias("best_alpha"), F.col("l1_ratio").alias("best_l1_ratio"), F.col("score").alias("mean_score"), "converged"
@@ -435,68 +399,21 @@ def _fit_linear_moments(prepared: Prepared) -> NetFits:
     )
 
 
-def _fit_linear_rows(prepared: Prepared) -> NetFits:
-    settings, spark = prepared.settings, prepared.spark
-    stats = written(training_stats(prepared), "scales")
-    tops = stats.groupBy("fit_id").agg(F.max(F.abs("score_y") / F.col("n_train").cast("double")).alias("top"))
-    alpha_top = {row.fit_id: row.top for row in tops.collect()}
-    sds = _outcome_sds(prepared)
-
-    def search(fit_id: int) -> list[tuple]:
-        train, _, inner = prepared.where(fit_id)
-        rows = _scaled(prepared, stats, fit_id).filter(train).select("y", "x", inner.alias("inner_fold"))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        grid = [(a, l1) for l1 in settings.l1_ratios for a in alpha_path(alpha_top[fit_id] / l1, settings.strengths)]
-        tasks = [(g, alpha, l1) for g in range(1, settings.inner_cv + 1) for alpha, l1 in grid]
-        out = []
-        for start in range(0, len(tasks), SCORED_TOGETHER):
-            scored = []
-            for g, alpha, l1 in tasks[start : start + SCORED_TOGETHER]:
-                model = linear_fit(rows.filter(F.col("inner_fold") != g), alpha, l1, sds[fit_id, g], settings)
-                held = model.transform(rows.filter(F.col("inner_fold") == g))
-                scored.append(
-                    held.select(
-                        "y", "prediction", F.lit(alpha).alias("alpha"), F.lit(l1).alias("l1_ratio"), F.lit(g).alias("g")
-                    )
-                )
-            miss = F.col("y") - F.col("prediction")
-            errors = _stacked(scored).groupBy("alpha", "l1_ratio", "g").agg(F.avg(miss * miss).alias("mse"))
-            out += [(fit_id, r.alpha, r.l1_ratio, r.g, r.mse) for r in errors.collect()]
-        rows.unpersist()
-        return out
-
-    found = [row for rows in _pool(list(prepared.fits), search, settings.parallelism) for row in rows]
-    inner_scores = spark.createDataFrame(found, "fit_id int, alpha double, l1_ratio double, inner_fold int, score double")
-    best = written(choose_hyper(inner_scores, "alpha", best="min", prefer="large"), "best")
-    chosen = {row.fit_id: row for row in best.collect()}
-    predictions_path, coef_path = scratch_path(spark, "predictions"), scratch_path(spark, "coef")
-
-    def refit(fit_id: int) -> None:
-        train, held, _ = prepared.where(fit_id)
-        rows = _scaled(prepared, stats, fit_id)
-        fitting = rows.filter(train).select("y", "x")
-        best_alpha, best_l1 = chosen[fit_id].best_alpha, chosen[fit_id].best_l1_ratio
-        model = linear_fit(fitting, best_alpha, best_l1, sds[fit_id, 0], settings)
-        model.transform(rows.filter(held)).select(
-            "sample_id", F.col("y").alias("y_true"), F.col("prediction").alias("y_pred")
-        ).write.parquet(f"{predictions_path}/fit_id={fit_id}")
-        _write_coef(spark, f"{coef_path}/fit_id={fit_id}", prepared.vocab, [model.coefficients.toArray()], 0)
-
-    _pool(list(prepared.fits), refit, settings.parallelism)
-    return NetFits(
-        _read_fits(spark, coef_path, "class int, feature string, coef double"),
-        _read_fits(spark, predictions_path, "sample_id string, y_true double, y_pred double"),
-        inner_scores,
-        best,
-    )
-
-
-def _write_coef(spark: SparkSession, path: str, vocab: Sequence[str], matrix, first_class: int) -> None:
-    """Non-zero coefficients of a fit as rows (V9); a model's vector is on the driver anyway."""
-    dense = np.nan_to_num(np.asarray(matrix, dtype=float), nan=0.0)
-    rows = [(int(first_class + k), vocab[i], float(dense[k, i])) for k, i in zip(*np.nonzero(dense), strict=True)]
-    spark.createDataFrame(rows, "class int, feature string, coef double").coalesce(1).write.parquet(path)
-
-
-def _read_fits(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, fit_id int").parquet(path)
+def _linear_predictions(eta: DataFrame) -> DataFrame:
+    return written(eta.select("sample_id", "y_true", F.col("eta")[0].alias("y_pred"), "fit_id"), "predictions")
+
+
+def _fit_linear_paths(prepared: Prepared) -> NetFits:
+    settings = prepared.settings
+    stats = training_stats(prepared).toPandas()
+    tops = (stats["score_y"].abs() / stats["n_train"]).groupby(stats["fit_id"]).max().reindex(range(1, settings.total_fits + 1), fill_value=0.0).to_numpy()
+    ratios = np.array(sorted(settings.l1_ratios))
+    steps = np.array(alpha_path(1.0, settings.strengths))
+    alphas = np.maximum(tops, 1e-300)[:, None, None] / ratios[:, None] * steps
+    total, spread = _outcome_cells(prepared)
+    penalty = np.broadcast_to(alphas[:, None], (settings.total_fits, settings.inner_cv + 1, *alphas.shape[1:]))
+    grid = _grid(prepared, paths.LINEAR, penalty, np.maximum(total, 1.0), np.ones((settings.total_fits, 1)), stats, max(spread, 1e-300))
+    solved = paths.solve_paths(prepared.table, grid, larger_is_better=False)
+    found, eta = _as_fits(prepared, grid, solved, "alpha", alphas, 0)
+    found.predictions = _linear_predictions(eta)
+    return found
