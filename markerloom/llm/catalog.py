@@ -63,8 +63,9 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(
-        "doc_id", *map(number, pii.BASE_KINDS), F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans")
-    )
+        "doc_id", *map(number, pii.BASE_KINDS), F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
+    )
 
 
 def op6_frame_files(spark: SparkSession, sf_dir: str) -> DataFrame:

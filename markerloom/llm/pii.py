@@ -1,9 +1,9 @@
 """Personal data in texts (operator 5): patterns propose, checksums confirm, context adjusts.
 
 Four kinds are base kinds: whatever their pattern and check let pass is a span,
-at the score of the kind. Further kinds (IBAN, social security numbers, card-like
-and phone-like numbers in other writings) have a base score that words close by
-raise or lower, and count from a threshold on.
+at the score of the kind. Further kinds (IBAN, social security numbers, phone-like
+numbers in other writings, long random strings such as keys and tokens) have a base
+score that words close by raise or lower, and count from a threshold on.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9.+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])")
+_RANDOM = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,256}+={0,2}+(?![A-Za-z0-9_+/=-])")
+_TURN = re.compile(r"(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]")
 _NEAR_WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,6 +55,13 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def random_looking(text: str) -> bool:
+    """Whether a long string looks drawn and not written: small and capital letters and digits mixed, and many different ones."""
+    body = text.strip("=-_")
+    digits = sum(map(str.isdigit, body))
+    return len(body) >= 20 and 0 < digits < len(body) and len(set(body)) >= 10 and len(_TURN.findall(body)) * 6 >= len(body)
+
+
 @dataclass(frozen=True)
 class Kind:
     """A further kind: pattern, check, score without context, and the words that change it."""
@@ -68,6 +77,7 @@ class Kind:
 FURTHER_KINDS = (
     Kind("iban", _IBAN, 0.9, mod97, frozenset({"iban", "account", "bank", "konto", "compte", "cuenta"})),
     Kind("ssn", _SSN, 0.45, None, frozenset({"ssn", "social", "security", "tax", "taxpayer"}), frozenset({"isbn", "order", "part", "serial", "version"})),
+    Kind("secret", _RANDOM, 0.4, random_looking, frozenset({"key", "token", "secret", "password", "passwd", "pwd", "apikey", "api", "bearer", "auth", "credential", "credentials", "private"}), frozenset({"sha", "commit", "checksum", "digest", "hash", "uuid"})),
     Kind("local_phone", _NATIONAL, 0.4, None, frozenset({"phone", "call", "tel", "telephone", "mobile", "fax", "contact"}), frozenset({"isbn", "order", "part", "serial", "version"})),
 )
 RAISED, LOWERED = 0.35, -0.35
@@ -117,7 +127,7 @@ def further_spans(text: str, taken: list[tuple[str, int, int]], threshold: float
     covered: set[int] = {i for _, a, b in taken for i in range(a, b)}
     for kind in FURTHER_KINDS:
         for m in kind.pattern.finditer(text):
-            if not covered.isdisjoint(range(m.start(), m.end())) or kind.valid and not kind.valid(m[0]):
+            if kind.valid and not kind.valid(m[0]) or not covered.isdisjoint(range(m.start(), m.end())):
                 continue
             near = text[max(0, m.start() - CONTEXT_CHARS) : m.start()] + " " + text[m.end() : m.end() + CONTEXT_CHARS]
             words = {w.lower() for w in _NEAR_WORD.findall(near)}

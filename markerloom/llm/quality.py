@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markerloom.llm.common import fresh_name
+
 #: Fixed values of the base rules.
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -227,5 +229,6 @@ def judged(documents: DataFrame, rules: list[Rule], key: str = "doc_id", text: s
 
 def keep_good(documents: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """``documents`` without rejected rows; all columns are kept."""
-    marked = documents.withColumn("_quality_counts", count_column(F.col(f"`{text}`")))
-    return marked.filter(verdict(rules, F.col("_quality_counts"))).drop("_quality_counts")
+    stats = fresh_name(documents, "quality_counts")
+    marked = documents.withColumn(stats, count_column(F.col(f"`{text}`")))
+    return marked.filter(verdict(rules, F.col(stats))).drop(stats)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markerloom.llm.common import Batches, arrow_schema, by_text, keyed_texts, stored
+from markerloom.llm.common import Batches, arrow_schema, by_text, fresh_name, keyed_texts, stored
 from markerloom.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -201,6 +201,8 @@ def keep_best(documents: DataFrame, found: DataFrame, key: str, text: str) -> Da
     best = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_doc"), F.col("best.tie").alias("_tie"))
     # The hash is Spark's own of the same bytes, with the seed that the fingerprints' hash has.
     tie = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    marked = documents.withColumn("_kept_tie", tie)
-    on = marked[key].cast("long").eqNullSafe(best["_doc"]) & (marked["_kept_tie"] == best["_tie"])
-    return marked.join(best, on, "left_semi").dropDuplicates([key, "_kept_tie"]).drop("_kept_tie")
+    own = fresh_name(documents, "kept_tie")
+    doc, text_tie = (fresh_name(documents, n) for n in ("kept_doc", "kept_text"))
+    marked, best = documents.withColumn(own, tie), best.toDF(doc, text_tie)
+    on = F.col(f"`{key}`").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(text_tie))
+    return marked.join(best, on, "left_semi").dropDuplicates([key, own]).drop(own)

@@ -167,6 +167,10 @@ def test_checks_and_context():
     assert kinds("iban GB82 WEST 1234 5698 7654 32 ok") == ["iban"]
     assert kinds("my ssn is 123-45-6789") == ["ssn"] and kinds("part 123-45-6789 of it") == []
     assert kinds("call 523-555-1055 now") == ["local_phone"] and kinds("523-555-1055") == []
+    secret = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    assert kinds(f'token = "{secret}"') == ["secret"] and kinds(f"commit {secret}") == [] and kinds(f"see {secret} there") == []
+    assert kinds("the password extraordinarily-incomprehensible") == [] and kinds("key " + "1" * 30) == []
+    assert pii.redact_text(f"api_key={secret} x") == "api_key=<SECRET> x" and kinds("SECRET_KEY: wJalrXUtnFEMI/K7MDENG/bPxRfiCY+zz==") == ["secret"]
     assert pii.redact_text("to a@b.co or 1.2.3.4!") == "to <EMAIL> or <IP>!"
     long = "a" * 300_000 + "." + "1" * 300_000 + "@" + "+1" * 100_000
     assert all(kind != "email" for kind, *_ in pii.spans_of(long))
@@ -281,8 +285,8 @@ def test_near_duplicates_of_all_documents(spark):
     wanted = sorted(str((r["doc_id"], f, least.get(root))) for r, f, root in zip(rows, fps, roots, strict=True))
     got = simhash.near_duplicates(whole).select("doc_id", simhash.hex_text(F.col("fp")).alias("h"), "component_id").collect()
     assert sorted(str((r["doc_id"], int(r["h"], 16), r["component_id"])) for r in got) == wanted
-    kept = simhash.keep_one(whole).collect()
-    assert len(kept) == len(set(roots))
+    kept = simhash.keep_one(whole.withColumn("kept_tie", F.lit("t")).withColumn("Kept_Doc", F.lit(1))).collect()
+    assert len(kept) == len(set(roots)) and {r["kept_tie"] for r in kept} == {"t"}
     assert simhash.near_duplicates(whole.limit(0)).count() == 0 and simhash.keep_one(whole.limit(0)).count() == 0
 
 
@@ -350,6 +354,8 @@ def test_rules_of_odd_inputs(spark):
     assert [r["kept"] for r in quality.judged(docs, []).collect()] == [False, False, False]
     assert quality.judged(docs.limit(0), []).count() == 0
     assert quality.keep_good(docs, []).columns == docs.columns
+    good = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(80)), 5)], "doc_id long, text string, quality_counts int")
+    assert [r["quality_counts"] for r in quality.keep_good(good, []).collect()] == [5]
 
 
 # Pipeline
