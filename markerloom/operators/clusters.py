@@ -11,7 +11,7 @@ from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markerloom.functions.tails import binomial_spread_p, binomial_two_sided_p
+from markerloom.functions.tails import binomial_spread_p, binomial_two_sided_p, chi_square_tail
 from markerloom.operators.presence import exploded, names_literal
 
 BOOTSTRAPS = 1000
@@ -206,7 +206,7 @@ def cluster_feature_counts(clustered: DataFrame) -> DataFrame:
 
 
 def chi_square(clustered: DataFrame) -> DataFrame:
-    """Association of every feature with the clusters (F7): ``feature, chi2``.
+    """Association of every feature with the two clusters (F7): ``feature, chi2, p_value``.
 
     With S = sum over clusters of k^2 / cluster size, the statistic of the
     2 x k table is N^2 (S - n^2/N) / (n (N - n)), so absent cells are not
@@ -215,7 +215,7 @@ def chi_square(clustered: DataFrame) -> DataFrame:
     clustered = clustered.filter(F.col("cluster").isNotNull())
     sizes = size_map(clustered)
     if not sizes:
-        return clustered.sparkSession.createDataFrame([], "feature string, chi2 double")
+        return clustered.sparkSession.createDataFrame([], "feature string, chi2 double, p_value double")
     seen = F.col("k").cast("double")
     sums = (
         cluster_feature_counts(clustered)
@@ -224,7 +224,7 @@ def chi_square(clustered: DataFrame) -> DataFrame:
     )
     n, everyone, s = F.col("n"), F.lit(float(sum(sizes.values()))), F.col("S")
     value = everyone * everyone * (s - n * n / everyone) / F.nullif(n * (everyone - n), F.lit(0.0))
-    return sums.select("feature", value.alias("chi2"))
+    return sums.select("feature", value.alias("chi2")).withColumn("p_value", chi_square_tail(F.col("chi2")))
 
 
 def chi_square_p(vectors: DataFrame, vocab: Sequence[str]) -> DataFrame:

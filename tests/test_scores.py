@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,20 @@ def test_metric_summary_skips_missing(spark):
     df = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.7)], "fold int, AUC double")
     row = stability.metric_summary(df, ["AUC"]).first()
     assert row["mean"] == pytest.approx(0.6) and row.n_folds == 2 and row.sd == pytest.approx(math.sqrt(0.02))
+
+
+def test_chi_square_tail_is_the_error_function(spark):
+    import math
+
+    values = [0.0, 1e-12, 1e-3, 0.5, 3.84145882, 7.999999, 8.0, 20.0, 300.0, 5000.0]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = {r["v"]: r["p"] for r in rows.withColumn("p", tails.chi_square_tail(F.col("v"))).collect()}
+    assert got.pop(None) is None
+    for v in values:
+        assert got[v] == pytest.approx(math.erfc(math.sqrt(v / 2)), rel=1e-9, abs=1e-14)
+
+
+def test_tails_of_many_rows_are_those_of_single_ones():
+    k, m, p = (np.array(x) for x in zip(*[(a, b, c) for b in (1, 7, 60, 5000) for a in {0, 1, b // 2, b} for c in (0.0, 0.01, 0.4, 1.0)], strict=True))
+    for rule in (tails._spread, tails._two_sided, tails.at_most, tails.at_least):
+        assert rule(k, m, p).tolist() == [float(rule(a, b, c)[0]) for a, b, c in zip(k, m, p, strict=True)]
