@@ -229,3 +229,78 @@ def continuous_net(
         params=_params(spark, settings, outcome=outcome_col, log1p=log1p, n_samples=joined.count(), n_features=len(names)),
         sample_summary=summary,
     )
+
+
+#: Fixed value: what the names of feature columns begin with.
+PREFIX = "OG"
+
+
+def _tsv_baskets(spark: SparkSession, path: str, id_col: str, label_col: str | None, prefix: str | None) -> tuple[DataFrame, list[str]]:
+    """Baskets of a wide table and all its features, also those that no sample has."""
+    baskets, order = tsv.read_presence(spark, path, id_col, label_col, prefix=prefix)
+    return written(baskets, "baskets"), [r.feature for r in order.orderBy("position").collect()]
+
+
+def _saved(found: NetResult, out: str | None, force: bool) -> NetResult:
+    if out is not None:
+        found.save(out, force)
+    return found
+
+
+def binary_net_in_tsv(
+    spark: SparkSession,
+    path: str,
+    id_col: str,
+    targets_col: str,
+    toi: str,
+    settings: NetSettings = NetSettings(),
+    *,
+    drop: Sequence[str] = (),
+    prefix: str | None = PREFIX,
+    out: str | None = None,
+    force: bool = False,
+) -> NetResult:
+    """``binary_net`` on a wide presence TSV.
+
+    Features are the columns whose names begin with ``prefix``; those that no
+    sample has are in the stability table with 0. With ``out`` the tables are
+    saved there.
+    """
+    baskets, names = _tsv_baskets(spark, path, id_col, targets_col, prefix)
+    return _saved(binary_net(baskets, toi, settings, names, drop), out, force)
+
+
+def multiclass_net_in_tsv(
+    spark: SparkSession,
+    path: str,
+    id_col: str,
+    targets_col: str,
+    toi: str | None = None,
+    settings: NetSettings = NetSettings(),
+    *,
+    keep: Sequence[str] = (),
+    prefix: str | None = PREFIX,
+    out: str | None = None,
+    force: bool = False,
+) -> NetResult:
+    """``multiclass_net`` on a wide presence TSV."""
+    baskets, names = _tsv_baskets(spark, path, id_col, targets_col, prefix)
+    return _saved(multiclass_net(baskets, toi, settings, names, keep), out, force)
+
+
+def continuous_net_in_tsv(
+    spark: SparkSession,
+    path: str,
+    meta_path: str,
+    id_col: str,
+    outcome_col: str,
+    settings: NetSettings = NetSettings(strengths=100, max_iter=30_000),
+    *,
+    log1p: bool = False,
+    prefix: str | None = PREFIX,
+    out: str | None = None,
+    force: bool = False,
+) -> NetResult:
+    """``continuous_net`` on a wide presence TSV and a TSV with the outcome."""
+    baskets, names = _tsv_baskets(spark, path, id_col, None, prefix)
+    return _saved(continuous_net(baskets, tsv.read_tsv(spark, meta_path), id_col, outcome_col, settings, names, log1p), out, force)

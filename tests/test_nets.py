@@ -7,6 +7,7 @@ from pyspark.ml.linalg import Vectors
 from markerloom.operators import moments, penalised
 from markerloom.operators.penalised import NetSettings
 from markerloom.plans import binary_net, continuous_net, multiclass_net
+from markerloom.plans.nets import binary_net_in_tsv, continuous_net_in_tsv, multiclass_net_in_tsv
 
 EXACT = NetSettings(max_iter=2000, tol=1e-12)
 
@@ -182,3 +183,28 @@ def test_continuous_net(spark, baskets):
     assert out.fold_metrics.columns == ["fold", "n_train", "n_test", "best_alpha", "best_l1_ratio", "R2", "MAE", "RMSE"]
     with pytest.raises(ValueError, match="no sample"):
         continuous_net(table, meta.selectExpr("concat(id, 'x') as id", "scc"), "id", "scc", SMALL)
+
+
+def test_nets_on_wide_tables(spark, tmp_path):
+    """Feature columns by prefix; those that no sample has are listed with 0."""
+    rng = np.random.default_rng(3)
+    rows, meta = ["sample\tOG1\tother\tOG2\ttarget\tOG_never"], ["sample\tscc\textra"]
+    for i in range(90):
+        label = "abc"[i % 3]
+        up, noise = int(rng.random() < (0.9 if label == "a" else 0.1)), int(rng.random() < 0.5)
+        rows.append(f"s{i}\t{up}\t1\t{noise}\t{label}\t0")
+        meta.append(f"s{i}\t{10 + 5 * up}\tx")
+    wide, outcome = tmp_path / "wide.tsv", tmp_path / "meta.tsv"
+    wide.write_text("\n".join(rows) + "\n")
+    outcome.write_text("\n".join(meta) + "\n")
+    names = {"OG1", "OG2", "OG_never"}
+    found = binary_net_in_tsv(spark, str(wide), "sample", "target", "a", SMALL, out=str(tmp_path / "net"))
+    table = {r.Orthogroup: r for r in found.stability.collect()}
+    assert set(table) == names and table["OG_never"].n_selected == 0 and table["OG1"].selection_rate == 1.0
+    assert {r.Orthogroup for r in spark.read.parquet(str(tmp_path / "net" / "stability")).collect()} == names
+    found = multiclass_net_in_tsv(spark, str(wide), "sample", "target", "a", SMALL)
+    assert {r.Orthogroup: r.direction_in_TOI for r in found.toi_stability.collect()}["OG1"] == "enriched_in_TOI"
+    found = continuous_net_in_tsv(spark, str(wide), str(outcome), "sample", "scc", SMALL)
+    assert {r.Orthogroup: r.n_selected for r in found.stability.collect()} | {"OG2": 0} == {"OG1": 3, "OG2": 0, "OG_never": 0}
+    with pytest.raises(ValueError):
+        binary_net_in_tsv(spark, str(wide), "sample", "target", "a", SMALL, prefix="XX")
