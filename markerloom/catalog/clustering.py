@@ -21,19 +21,20 @@ TOI = "BUILDING"
 
 
 def brand_leaves(spark, sf):
-    """``sample_id, leaves`` and the labelled baskets they come from."""
+    """``sample_id, target, items, leaves`` and the labelled baskets they come from."""
     baskets = written(tables.brand_baskets(spark, sf), "baskets")
     names = vocabulary(feature_counts(baskets))
     leaf = [
         F.when(F.array_contains("items", a), 2).otherwise(0) + F.when(F.array_contains("items", b), 1).otherwise(0)
         for a, b in zip(names, names[1:] + names[:1])
     ]
-    return baskets.select("sample_id", F.array(*leaf).alias("leaves")), baskets
+    kept = baskets.select("sample_id", F.col("label").alias("target"), "items", F.array(*leaf).alias("leaves"))
+    return kept, baskets
 
 
 LEAVES = f"""{BRANDS},
 names AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT feature FROM presence)),
-leaf_rows AS (
+leaf_rows AS MATERIALIZED (
   SELECT s.sample_id, a.tree::INTEGER AS tree,
          ((CASE WHEN pa.feature IS NULL THEN 0 ELSE 2 END) + (CASE WHEN pb.feature IS NULL THEN 0 ELSE 1 END))::INTEGER AS leaf, a.trees
   FROM samples s CROSS JOIN names a JOIN names b ON b.tree = (a.tree + 1) % a.trees
@@ -47,24 +48,51 @@ shared AS (
 costs AS (
   SELECT a.candidate_id AS first_id, b.candidate_id AS second_id, sum(a.trees - greatest(a.shared, b.shared)) / any_value(a.trees)::DOUBLE AS cost
   FROM shared a JOIN shared b ON a.sample_id = b.sample_id AND a.candidate_id < b.candidate_id GROUP BY a.candidate_id, b.candidate_id),
-best AS (SELECT first_id, second_id FROM costs ORDER BY round(cost, 6), first_id, second_id LIMIT 1),
-assigned AS (
-  SELECT a.sample_id, CASE WHEN b.shared > a.shared THEN 1 ELSE 0 END AS cluster
-  FROM best JOIN shared a ON a.candidate_id = first_id JOIN shared b ON b.candidate_id = second_id AND b.sample_id = a.sample_id),
+m0 AS MATERIALIZED (SELECT first_id, second_id FROM costs ORDER BY round(cost, 6), first_id, second_id LIMIT 1)"""
+
+#: Rounds written out in SQL; a pair that no round betters stays, so more change nothing.
+ROUNDS = 12
+
+
+def _near(medoids: str) -> str:
+    """Trees in which each sample shares the leaf of either medoid."""
+    return f"""(SELECT r.sample_id, any_value(r.trees) AS trees, sum((r.leaf = a.leaf)::INT) AS one, sum((r.leaf = b.leaf)::INT) AS two
+  FROM {medoids} JOIN leaf_rows a ON a.sample_id = first_id JOIN leaf_rows b ON b.sample_id = second_id AND b.tree = a.tree
+  JOIN leaf_rows r ON r.tree = a.tree GROUP BY r.sample_id)"""
+
+
+def _round(k: int) -> str:
+    """From ``m<k>`` to ``m<k + 1>``: the best member of each cluster, if that lowers the cost."""
+    return f"""
+a{k} AS MATERIALIZED (SELECT sample_id, CASE WHEN two > one THEN 1 ELSE 0 END AS cluster, trees - greatest(one, two) AS away FROM {_near(f"m{k}")}),
+n{k} AS (SELECT cluster, tree, leaf, count(*) AS members FROM a{k} JOIN leaf_rows USING (sample_id) GROUP BY ALL),
+s{k} AS (SELECT cluster, sample_id, sum(members) AS near FROM a{k} JOIN leaf_rows USING (sample_id) JOIN n{k} USING (cluster, tree, leaf) GROUP BY ALL),
+b{k} AS (SELECT cluster, sample_id FROM s{k} QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY near DESC, sample_id) = 1),
+p{k} AS MATERIALIZED (
+  SELECT coalesce((SELECT sample_id FROM b{k} WHERE cluster = 0), first_id) AS first_id,
+         coalesce((SELECT sample_id FROM b{k} WHERE cluster = 1), second_id) AS second_id FROM m{k}),
+t{k} AS (SELECT (SELECT sum(trees - greatest(one, two)) FROM {_near(f"p{k}")}) < (SELECT sum(away) FROM a{k}) AS lower),
+m{k + 1} AS MATERIALIZED (
+  SELECT CASE WHEN lower THEN p{k}.first_id ELSE m{k}.first_id END AS first_id,
+         CASE WHEN lower THEN p{k}.second_id ELSE m{k}.second_id END AS second_id FROM m{k}, p{k}, t{k})"""
+
+
+CANDIDATE_LEAVES = LEAVES
+LEAVES = f"""{LEAVES},{",".join(map(_round, range(ROUNDS)))},
+assigned AS (SELECT sample_id, CASE WHEN two > one THEN 1 ELSE 0 END AS cluster FROM {_near(f"m{ROUNDS}")}),
 clustered AS (SELECT s.sample_id, s.label AS target, a.cluster FROM samples s LEFT JOIN assigned a ON a.sample_id = s.sample_id)"""
 
 
 def brand_clusters(spark, sf):
-    """``sample_id, target, cluster, items``."""
-    leaves, baskets = brand_leaves(spark, sf)
-    assigned = clusters.assign_clusters(leaves, clusters.choose_medoids(leaves, CANDIDATES))
-    labelled = clusters.label_clusters(baskets, assigned)
-    return written(labelled.join(baskets.select("sample_id", "items"), "sample_id"), "clustered")
+    """``sample_id, target, cluster, items``: medoids from all samples, begun at the best pair of a few."""
+    leaves, _ = brand_leaves(spark, sf)
+    medoids = clusters.refined_medoids(leaves, clusters.choose_medoids(leaves, CANDIDATES))
+    return written(clusters.assign_clusters(leaves, medoids, "target", "items"), "clustered")
 
 
 @registry.add(
     "cluster_coleaf_counts",
-    f"WITH {LEAVES} SELECT sample_id, candidate_id, shared::BIGINT AS shared FROM shared WHERE shared > 0",
+    f"WITH {CANDIDATE_LEAVES} SELECT sample_id, candidate_id, shared::BIGINT AS shared FROM shared WHERE shared > 0",
 )
 def _coleaf(spark, sf):
     leaves, _ = brand_leaves(spark, sf)
@@ -72,7 +100,7 @@ def _coleaf(spark, sf):
     return clusters.co_leaf_counts(clusters.leaf_rows(leaves), picked)
 
 
-@registry.add("cluster_medoid_costs", f"WITH {LEAVES} SELECT first_id, second_id, round(cost, 6) AS cost FROM costs")
+@registry.add("cluster_medoid_costs", f"WITH {CANDIDATE_LEAVES} SELECT first_id, second_id, round(cost, 6) AS cost FROM costs")
 def _medoid_costs(spark, sf):
     leaves, _ = brand_leaves(spark, sf)
     picked = sorted((r.sample_id, list(r.leaves)) for r in clusters.candidate_medoids(leaves, CANDIDATES).collect())
