@@ -193,12 +193,12 @@ class _Dealt:
     ranges: int
 
     @classmethod
-    def of(cls, table: DataFrame) -> _Dealt:
+    def of(cls, table: DataFrame, fits: int) -> _Dealt:
         tasks = table.sparkSession.sparkContext.defaultParallelism
         ranges = max(1, -(-table.count() // ROWS_IN_TASK))
         if 2 * ranges > tasks:
             return cls(_lean(table).withColumn("part", F.lit(0)).coalesce(tasks), 1, tasks)
-        parts = tasks // ranges
+        parts = min(tasks // ranges, fits)
         # Numbers that hashing deals to one task each.
         number = F.pmod(F.hash("id"), F.lit(parts * ranges))
         known = table.sparkSession.range(200 * parts * ranges).groupBy(number.alias("task")).agg(F.min("id").alias("id"))
@@ -586,9 +586,9 @@ def solve_paths(table: DataFrame, grid: Grid, larger_is_better: bool) -> Solved:
         np.full(shape, np.nan), np.zeros(shape, dtype=bool), [(0, 0)] * grid.fits, np.full(grid.fits, np.nan),
         np.zeros((grid.fits, grid.lanes, grid.width + 1)),
     )
-    dealt = _Dealt.of(table)
     numbers = many * grid.lanes * (grid.width + 1) * (3 * (inner + 1) + _kept_sets(grid) * steps)
     together = max(1, WAVE_NUMBERS // numbers)
+    dealt = _Dealt.of(table, min(together, grid.fits))
     for first in range(0, grid.fits, together):
         fits = range(first, min(grid.fits, first + together))
         held = _walk(dealt, grid, fits, out)
