@@ -7,7 +7,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.llm.common import Batches, arrow_schema, keyed_texts, stored
@@ -16,7 +16,6 @@ from markerloom.llm.tokens import VOCABULARY, encoder, vocabulary_path
 WINDOW = 2048
 END_ID = 1
 TOKENISED = "part int, doc_id long, below long, n_tokens long, ids binary"
-PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def tokenised(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -67,25 +66,23 @@ def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", window:
     a text longer than the window spans as many sequences as it needs.
     """
     rows = stored(tokenised(documents, key, text, vocabulary, end_id), "tokens")
-    base = partition_starts(rows)
-    target = arrow_schema(documents.sparkSession, PIECES)
-
-    def cut(batches: Batches) -> Batches:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 200):
-                lot = batch.slice(begin, 200)
-                out: list[list] = [[] for _ in target]
-                for part, doc, below, total, ids in zip(*(c.to_pylist() for c in lot.columns), strict=True):
-                    at, start = base[part] + below, 0
-                    while start < total:
-                        sequence, offset = divmod(at + start, window)
-                        length = min(window - offset, total - start)
-                        for column, value in zip(out, (doc, start, length, total, sequence, offset, ids[4 * start : 4 * (start + length)]), strict=True):
-                            column.append(value)
-                        start += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, target, strict=True)], schema=target)
-
-    return rows.mapInArrow(cut, PIECES)
+    starts = documents.sparkSession.createDataFrame(sorted(partition_starts(rows).items()), "part int, base long")
+    # One row for each task of the first pass.
+    placed = rows.join(F.broadcast(starts), "part").withColumn("at", F.col("base") + F.col("below"))
+
+    def piece(sequence: Column) -> Column:
+        begin = sequence * window - F.col("at")
+        start = F.greatest(begin, F.lit(0))
+        length = F.least(begin + window, F.col("n_tokens")) - start
+        ids = F.substring("ids", (4 * start + 1).cast("int"), (4 * length).cast("int"))
+        return F.struct(
+            start.alias("start"), length.alias("length"), F.col("n_tokens").alias("doc_tokens"), sequence.alias("sequence_id"),
+            F.greatest(-begin, F.lit(0)).alias("offset"), ids.alias("ids"),
+        )
+
+    # Cut inside the row, so that a long document is not copied for each of its pieces.
+    first, last = F.floor(F.col("at") / window), F.floor((F.col("at") + F.col("n_tokens") - 1) / window)
+    return placed.select("doc_id", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("doc_id", "p.*")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
