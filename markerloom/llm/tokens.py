@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -20,11 +21,20 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level files: visible ones for themselves, the others from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class TextEncoder:
-    """The ``tokenizers`` library on distinct words.
+    """The ``tokenizers`` library's merges on distinct words.
 
     Byte-level BPE never merges across words, so the ids of a text are those of
-    its words one after another. The file's added tokens are cut out before and
+    its words one after another. Words are found here, by the same pattern, and
+    go to the library's model directly, which takes half the time of a call with
+    its own search for words. The file's added tokens are cut out before and
     give their own ids, as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
     """
 
@@ -34,6 +44,11 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        stated = json.loads(self.tokenizer.to_str())
+        if stated["normalizer"] is not None or {k: (stated["pre_tokenizer"] or {}).get(k) for k in plain} != plain:
+            raise ValueError("only plain byte-level files are supported")
+        self.letters = str.maketrans({chr(b): letter for b, letter in byte_letters().items()})
         self.words = WordCache(self._encode)
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
@@ -43,8 +58,8 @@ class TextEncoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, dtype=np.uint32) for x in found]
+        merge, letters = self.tokenizer.model.tokenize, self.letters
+        return [np.array([t.id for t in merge(w.encode().decode("latin-1").translate(letters))], dtype=np.uint32) for w in words]
 
     def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
         whole = [bool(self.cut and self.cut.search(t)) for t in texts]
