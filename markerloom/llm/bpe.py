@@ -2,9 +2,9 @@
 
 The merges of a word are a fold of Spark's higher-order functions over its
 array of bytes, by a constant map of ranked pairs. The most frequent distinct
-words of all documents are merged once and sent along, a table of bounded size;
-every other word is merged in the row of the lot of documents it stands in,
-once per lot. Decoding concatenates the byte strings of the ids.
+words of a row sample are merged once and sent along, a table of bounded size
+that changes the speed only; every other word is merged in the row of the lot
+of documents it stands in, once per lot. Decoding concatenates the byte strings of the ids.
 """
 
 from __future__ import annotations
@@ -20,18 +20,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerloom.llm.common import Batches, arrow_schema, keyed_texts
+from markerloom.llm.common import Batches, arrow_schema, keyed_texts, stored
 from markerloom.llm.pretokens import gather_flat, in_groups, split_words
 from markerloom.llm.tokens import vocabulary_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Distinct words that are sent along, the most frequent of all documents.
-FREQUENT_WORDS = 200_000
+#: Distinct words that are sent along at most, the most frequent of a sample of the documents.
+FREQUENT_WORDS = 300_000
+SAMPLED = 0.1
 #: Longer words are never sent along; so the table has a size bound.
 FREQUENT_BYTES = 64
-#: The fold takes the square of a word's length and holds places in 8 bits; longer words are merged with a heap by the same ranks.
+#: The fold takes the square of a word's length; longer words are merged with a heap by the same ranks.
 FOLD_BYTES = 200
 DOCS_PER_LOT = 500
+#: Characters of a lot, unless one text has more; larger lots take more memory and repeat hardly fewer words.
+CHARS_PER_LOT = 1 << 19
+#: Above every rank: the pair gives no token.
+UNJOINED = 1 << 20
 LOTS = "doc_ids array<long>, n_words array<int>, number binary, sizes binary, known binary, rare array<array<int>>"
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
@@ -60,32 +65,31 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def pair_table(path: str) -> tuple[list[int], list[int]]:
-    """Keys and ranks of all pairs, every pair at one of its two places (-1: nothing there)."""
+def pair_table(path: str) -> list[int]:
+    """All pairs with their ranks, every pair at one of its two places (-1: nothing there): left id, right id, rank, 20 bits each."""
     pairs = pairs_of(path)
     for bits in range(max(4, (2 * len(pairs)).bit_length()), 31):
         size = 1 << bits
         held: list[tuple[int, int] | None] = [None] * size
         if all(_settle(held, pair, size) for pair in pairs):
-            keys = [-1 if p is None else p[0] << 20 | p[1] for p in held]
-            return keys, [-1 if p is None else pairs[p] for p in held]
+            return [-1 if p is None else (p[0] << 20 | p[1]) << 20 | pairs[p] for p in held]
     raise ValueError("no table found for the pairs")
 
 
-def _places(left, right, size: int):
-    """The two places of a pair, for numbers and for columns alike."""
-    return (left * 31 + right) % size, (left * 517 + right * 13) % size
+def _sums(left, right):
+    """Two numbers of a pair, for numbers and for columns alike; their last bits are its two places in the table."""
+    return left * 31 + right, left * 517 + right * 13
 
 
 def _settle(held: list, pair: tuple[int, int], size: int) -> bool:
     """Puts a pair at one of its places; what stood there moves to its other one."""
-    at = _places(*pair, size)[0]
+    at = _sums(*pair)[0] % size
     for _ in range(500):
         held[at], pair = pair, held[at]
         if pair is None:
             return True
-        one, two = _places(*pair, size)
-        at = two if at == one else one
+        one, two = _sums(*pair)
+        at = two % size if at == one % size else one % size
     return False
 
 
@@ -99,12 +103,12 @@ class Merges:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         ranks, pairs = read_ranks(path), pairs_of(path)
-        keys, values = pair_table(path)
-        self.size = len(keys)
+        table = pair_table(path)
+        self.size = len(table)
         single = [ranks[bytes([b])] for b in range(256)]
         first = [pairs.get((left, right)) for left in single for right in single]
-        schema = "keys array<bigint>, values array<int>, bytes array<int>, first array<int>"
-        self.table = spark.createDataFrame([(keys, values, single, first)], schema).select(F.struct("*")).scalar()
+        schema = "pairs array<bigint>, bytes array<int>, first array<int>"
+        self.table = spark.createDataFrame([(table, single, first)], schema).select(F.struct("*")).scalar()
 
     def applied(self, rows: DataFrame, words: str | Column, *kept: str) -> DataFrame:
         """The kept columns of ``rows``, and ``merged``: the ids of every word of an array of byte arrays."""
@@ -113,43 +117,52 @@ class Merges:
         return named.select(*kept, merged.alias("merged"))
 
     def _rank(self, table: Column, left: Column, right: Column) -> Column:
-        """Rank of the pair, null if nothing joins it."""
-        key = F.shiftleft(left.cast("long"), 20).bitwiseOR(right)
-        one, two = _places(left, right, self.size)
-        found = F.when(F.get(table["keys"], one) == key, F.get(table["values"], one))
-        return found.when(F.get(table["keys"], two) == key, F.get(table["values"], two))
+        """Rank of the pair, ``UNJOINED`` if nothing joins it."""
+        key = F.shiftleft(left, 20).bitwiseOR(right)
+        one, two = (F.get(table["pairs"], at.bitwiseAND(F.lit(self.size - 1)).cast("int")) for at in _sums(left, right))
+        rank = F.lit((1 << 20) - 1).cast("long")
+        found = F.when(F.shiftright(one, 20) == key, one.bitwiseAND(rank))
+        return found.when(F.shiftright(two, 20) == key, two.bitwiseAND(rank)).otherwise(F.lit(UNJOINED).cast("long"))
 
     def _ids(self, table: Column, word: Column) -> Column:
-        """Ids of a word given as an array of byte values: the lowest pair is joined again and again, the leftmost of equals first."""
-        first = F.struct(
-            F.transform(word, lambda b: F.get(table["bytes"], b)).alias("parts"),
-            F.transform(
-                F.slice(word, F.lit(1), F.size(word) - 1), lambda b, i: F.get(table["first"], b * 256 + F.get(word, i + 1))
-            ).alias("ranks"),
+        """Ids of a word given as an array of byte values: the lowest pair is joined again and again, the leftmost of equals first.
+
+        A part is one number: the rank of the pair that it begins, then its id.
+        """
+        low, high = F.lit((1 << 20) - 1).cast("long"), F.lit(-1 << 20).cast("long")
+        first = F.transform(
+            word,
+            lambda b, i: F.shiftleft(F.coalesce(F.get(table["first"], b * 256 + F.get(word, i + 1)), F.lit(UNJOINED)).cast("long"), 20)
+            .bitwiseOR(F.get(table["bytes"], b)),
         )
 
-        def join(held: Column, _: Column) -> Column:
+        def join(parts: Column, _: Column) -> Column:
             # Rank and place in one number, so that the least is the lowest pair, the leftmost of equals.
-            placed = F.transform(held["ranks"], lambda rank, i: F.shiftleft(rank, 8).bitwiseOR(i))
+            placed = F.transform(parts, lambda part, i: part.bitwiseAND(high).bitwiseOR(i))
             return _let(
                 F.array_min(placed),
-                lambda least: F.when(least.isNull(), held).otherwise(
-                    self._replaced(table, held["parts"], held["ranks"], F.shiftright(least, 8), least.bitwiseAND(F.lit(255)) + 1)
+                lambda least: F.when(least >= UNJOINED << 20, parts).otherwise(
+                    self._joined(table, parts, F.shiftright(least, 20), least.bitwiseAND(low).cast("int"), low)
                 ),
             )
 
         rounds = F.slice(word, F.lit(2), F.size(word))
-        return F.when(F.size(word) > 0, F.aggregate(rounds, first, join, lambda held: held["parts"])).otherwise(word)
-
-    def _replaced(self, table: Column, parts: Column, ranks: Column, least: Column, at: Column) -> Column:
-        """Parts with the pair at ``at`` (from 1) made one, and ranks with both neighbours renewed."""
-        nothing = F.array().cast("array<int>")
-        before = F.when(at > 1, F.array(self._rank(table, F.get(parts, at - 2), least))).otherwise(nothing)
-        after = F.when(at + 1 < F.size(parts), F.array(self._rank(table, least, F.get(parts, at + 1)))).otherwise(nothing)
-        left = F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0)))
-        return F.struct(
-            F.concat(F.slice(parts, F.lit(1), at - 1), F.array(least), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-            F.concat(left, before, after, F.slice(ranks, at + 2, F.size(parts))).alias("ranks"),
+        merged = F.aggregate(
+            rounds, first, join, lambda parts: F.transform(parts, lambda part: part.bitwiseAND(low).cast("int"))
+        )
+        return F.when(F.size(word) > 0, merged).otherwise(word)
+
+    def _joined(self, table: Column, parts: Column, whole: Column, at: Column, low: Column) -> Column:
+        """Parts with those at ``at`` and after it made one, and the pairs with both neighbours renewed."""
+        right, left = F.get(parts, at + 2), F.get(parts, at - 1)
+        # Without a neighbour the rank is looked up for a null and so not found.
+        one = F.shiftleft(self._rank(table, whole, right.bitwiseAND(low)), 20).bitwiseOR(whole)
+        before = _let(
+            left.bitwiseAND(low), lambda id_: F.array(F.shiftleft(self._rank(table, id_, whole), 20).bitwiseOR(id_), one)
+        )
+        changed = F.when(at > 0, before).otherwise(F.array(one))
+        return F.flatten(
+            F.array(F.slice(parts, F.lit(1), F.greatest(at - 1, F.lit(0))), changed, F.slice(parts, at + 3, F.size(parts)))
         )
 
 
@@ -175,8 +188,8 @@ def merge_long(word: bytes, path: str) -> list[int]:
     return [x for x in ids if x is not None]
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``word, n``: how often each distinct word occurs in all documents."""
+def word_counts(texts: DataFrame, path: str) -> DataFrame:
+    """``word, n``: how often each distinct short word that is no token itself occurs in the texts."""
     schema = "word string, n long"
     target = arrow_schema(texts.sparkSession, schema)
 
@@ -184,13 +197,16 @@ def word_counts(texts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], schema=target)
 
     def run(batches: Batches) -> Batches:
+        ranks = read_ranks(path)
         held: Counter = Counter()
         for batch in batches:
             lot = batch.column(0).to_pylist()
-            for begin, end in in_groups(lot):
+            for begin, end in in_groups(lot, CHARS_PER_LOT):
                 words, number, _ = split_words(lot[begin:end])
                 for word, n in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
-                    held[word] += n
+                    whole = word.encode()
+                    if len(whole) <= FREQUENT_BYTES and whole not in ranks:
+                        held[word] += n
                 if len(held) > 200_000:
                     yield emit(held)
                     held.clear()
@@ -199,18 +215,32 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(texts: DataFrame, path: str, limit: int = FREQUENT_WORDS) -> dict[str, list[int]]:
-    """The most frequent words that are no tokens themselves, with their ids: at most ``limit`` times ``FREQUENT_BYTES`` bytes."""
+def frequent_words(texts: DataFrame, path: str, limit: int = FREQUENT_WORDS, fraction: float = SAMPLED) -> dict[str, bytes]:
+    """Frequent words that are no tokens themselves, with their ids: at most ``limit`` times ``FREQUENT_BYTES`` bytes.
+
+    Counted in a row sample. Counts fall into classes of a factor 2 ** 0.125;
+    whole classes are taken from the top while they fit, so nothing is sorted.
+    """
     if limit <= 0:
         return {}
     spark = texts.sparkSession
-    tokens = spark.createDataFrame([(t,) for t in read_ranks(path)], "token binary")
-    short = word_counts(texts).filter(F.octet_length("word") <= FREQUENT_BYTES).withColumn("token", F.encode("word", "UTF-8"))
-    top = short.join(F.broadcast(tokens), "token", "left_anti").orderBy(F.desc("n"), "word").limit(limit)
-    lots = top.withColumn("lot", F.pmod(F.xxhash64("word"), F.lit(64))).groupBy("lot").agg(F.collect_list("word").alias("words"))
+    level = F.floor(F.log2("n") * 8)
+    counts = stored(word_counts(texts.sample(fraction, seed=1), path).select("word", level.alias("level")), "bpe_words")
+    least, taken = None, 0
+    for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        taken += row["count"]
+        if taken > limit:
+            break
+        least = row["level"]
+    if least is None:
+        return {}
+    top = counts.filter(F.col("level") >= least).withColumn("lot", F.pmod(F.xxhash64("word"), F.lit(64)))
+    lots = top.groupBy("lot").agg(F.collect_list("word").alias("words"))
     bytes_of = F.transform("words", lambda word: _byte_values(F.encode(word, "UTF-8")))
     merged = Merges(spark, path).applied(lots, bytes_of, "words")
-    return {word: ids for r in merged.collect() for word, ids in zip(r["words"], r["merged"], strict=True)}
+    return {
+        word: np.array(ids, "<u4").tobytes() for r in merged.collect() for word, ids in zip(r["words"], r["merged"], strict=True)
+    }
 
 
 def _byte_values(binary: Column) -> Column:
@@ -225,7 +255,7 @@ def _lots(texts: DataFrame, path: str, frequent) -> DataFrame:
     """Rows of a few hundred documents each: their words by number, the ids of known words, the bytes of the others."""
     target = arrow_schema(texts.sparkSession, LOTS)
 
-    def known_ids(words: Sequence[str], table: Mapping[str, list[int]]) -> tuple[list, list]:
+    def known_ids(words: Sequence[str], table: Mapping[str, bytes]) -> tuple[list[bytes], list[list[int]]]:
         ranks, out, rare = read_ranks(path), [], []
         for word in words:
             ids = table.get(word)
@@ -233,12 +263,12 @@ def _lots(texts: DataFrame, path: str, frequent) -> DataFrame:
                 whole = word.encode()
                 rank = ranks.get(whole)
                 if rank is not None:
-                    ids = (rank,)
+                    ids = rank.to_bytes(4, "little")
                 elif len(whole) > FOLD_BYTES:
-                    ids = merge_long(whole, path)
+                    ids = np.array(merge_long(whole, path), "<u4").tobytes()
                 else:
                     rare.append(list(whole))
-                    ids = ()
+                    ids = b""
             out.append(ids)
         return out, rare
 
@@ -248,12 +278,11 @@ def _lots(texts: DataFrame, path: str, frequent) -> DataFrame:
             for first in range(0, batch.num_rows, DOCS_PER_LOT):
                 lot = batch.slice(first, DOCS_PER_LOT)
                 docs, whole = lot.column(0).to_pylist(), lot.column(1).to_pylist()
-                for begin, end in in_groups(whole):
+                for begin, end in in_groups(whole, CHARS_PER_LOT):
                     words, number, counts = split_words(whole[begin:end])
                     ids, rare = known_ids(words, table)
-                    sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-                    flat = np.fromiter((x for y in ids for x in y), dtype=np.uint32, count=int(sizes.sum()))
-                    columns = [[docs[begin:end]], [counts.tolist()], [number.astype(np.int32).tobytes()], [sizes.tobytes()], [flat.tobytes()], [rare]]
+                    sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
+                    columns = [[docs[begin:end]], [counts.tolist()], [number.astype(np.int32).tobytes()], [sizes.tobytes()], [b"".join(ids)], [rare]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     return texts.mapInArrow(run, LOTS)
@@ -286,16 +315,23 @@ def _assembled(lots: DataFrame) -> DataFrame:
     return lots.mapInArrow(run, ENCODED)
 
 
-def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", ranks: str | None = None, frequent: int = FREQUENT_WORDS) -> DataFrame:
+def encode(
+    documents: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    ranks: str | None = None,
+    frequent: int = FREQUENT_WORDS,
+    sampled: float = SAMPLED,
+) -> DataFrame:
     """``doc_id, n_tokens, ids``: ids of whole texts as little-endian unsigned 32-bit integers.
 
     Null and empty texts have no ids; null keys and repeated rows stay; words of
     any length are merged to the end; no documents give no rows. ``frequent``
-    changes the speed only.
+    and ``sampled`` change the speed only.
     """
     path = ranks or vocabulary_path(RANKS)
     texts = keyed_texts(documents, key, text)
-    table = texts.sparkSession.sparkContext.broadcast(frequent_words(texts, path, frequent))
+    table = texts.sparkSession.sparkContext.broadcast(frequent_words(texts, path, frequent, sampled))
     lots = _lots(texts, path, table)
     merges = Merges(texts.sparkSession, path)
     return _assembled(merges.applied(lots, "rare", "doc_ids", "n_words", "number", "sizes", "known"))

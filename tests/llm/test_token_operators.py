@@ -101,11 +101,11 @@ def test_no_documents(spark):
     assert wordpiece.token_counts(none).count() == 0
 
 
-@pytest.mark.parametrize("frequent", [0, 50])
-def test_bpe_is_that_of_the_library(documents, frequent):
+@pytest.mark.parametrize(("frequent", "sampled"), [(0, 1.0), (50, 1.0), (bpe.FREQUENT_WORDS, bpe.SAMPLED)])
+def test_bpe_is_that_of_the_library(documents, frequent, sampled):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(bpe.RANKS), "rb"))}
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = bpe.decode(bpe.encode(documents, frequent=frequent)).collect()
+    got = bpe.decode(bpe.encode(documents, frequent=frequent, sampled=sampled)).collect()
     wanted = sorted((str(k), np.array(known.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for k, t, *_ in TEXTS)
     assert sorted((str(r["doc_id"]), bytes(r["ids"]), bytes(r["decoded"])) for r in got) == wanted
     assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in got)
