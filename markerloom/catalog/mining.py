@@ -13,26 +13,27 @@ QUERIES, ORACLES = registry.queries, registry.oracles
 
 
 def itemset_ctes(where: str, support: float, max_len: int, prefix: str = "") -> str:
-    """Level-wise self joins: ``<prefix>itemsets(items, freq, support)``."""
+    """``<prefix>itemsets(items, freq, support)``: each level grows from the frequent itemsets of the one before, keyed by joined text."""
     p = prefix
     parts = [
-        f"{p}n AS (SELECT count(*) AS total, ceil({support}::DOUBLE * count(*)) AS needed FROM samples WHERE {where})",
-        f"{p}mine AS MATERIALIZED (SELECT p.sample_id, p.feature FROM presence p JOIN samples s ON p.sample_id = s.sample_id WHERE {where})",
-        f"""{p}often AS MATERIALIZED (SELECT * FROM {p}mine WHERE feature IN
-            (SELECT feature FROM {p}mine, {p}n GROUP BY feature, needed HAVING count(*) >= needed))""",
+        f"{p}n AS MATERIALIZED (SELECT count(*) AS total, ceil({support}::DOUBLE * count(*)) AS needed FROM samples WHERE {where})",
+        f"""{p}held1 AS MATERIALIZED (SELECT p.sample_id, p.feature AS key, p.feature AS last
+            FROM presence p JOIN samples s ON p.sample_id = s.sample_id WHERE {where})""",
     ]
-    selects = []
     for k in range(1, max_len + 1):
-        names = [f"t{i}" for i in range(k)]
-        tables_ = f"{p}often t0" + "".join(
-            f" JOIN {p}often t{i} ON t{i}.sample_id = t{i - 1}.sample_id AND t{i}.feature > t{i - 1}.feature" for i in range(1, k)
+        parts.append(
+            f"{p}level{k} AS MATERIALIZED (SELECT key, count(*) AS freq FROM {p}held{k} GROUP BY key HAVING count(*) >= (SELECT needed FROM {p}n))"
         )
-        items = "[" + ", ".join(f"{t}.feature" for t in names) + "]"
-        parts.append(f"{p}level{k} AS MATERIALIZED (SELECT {items} AS items, count(*) AS freq FROM {tables_} GROUP BY items)")
-        selects.append(f"SELECT items, freq FROM {p}level{k}")
-    union = " UNION ALL ".join(selects)
+        if k < max_len:
+            parts.append(f"{p}often{k} AS MATERIALIZED (SELECT * FROM {p}held{k} WHERE key IN (SELECT key FROM {p}level{k}))")
+            parts.append(
+                f"""{p}held{k + 1} AS (SELECT h.sample_id, h.key || ',' || o.feature AS key, o.feature AS last
+            FROM {p}often{k} h JOIN (SELECT sample_id, last AS feature FROM {p}often1) o ON o.sample_id = h.sample_id AND o.feature > h.last)"""
+            )
+    union = " UNION ALL ".join(f"SELECT key, freq FROM {p}level{k}" for k in range(1, max_len + 1))
     parts.append(
-        f"{p}itemsets AS MATERIALIZED (SELECT items, freq, freq / total::DOUBLE AS support FROM ({union}), {p}n WHERE freq >= needed)"
+        f"""{p}itemsets AS MATERIALIZED (SELECT key, string_split(key, ',') AS items, freq, freq / total::DOUBLE AS support
+            FROM ({union}), {p}n)"""
     )
     return ",\n".join(parts)
 
@@ -41,14 +42,16 @@ def rule_ctes(prefix: str = "") -> str:
     """All splits with their metrics: ``<prefix>rules``."""
     p = prefix
     return f"""
-{p}splits AS (
-  SELECT items, support, mask,
+{p}splits AS MATERIALIZED (
+  SELECT items, support,
          [x FOR x, i IN items IF (mask >> (i - 1)) & 1 = 1] AS antecedents,
-         [x FOR x, i IN items IF (mask >> (i - 1)) & 1 = 0] AS consequents
+         [x FOR x, i IN items IF (mask >> (i - 1)) & 1 = 0] AS consequents,
+         array_to_string(antecedents, ',') AS antecedent, array_to_string(consequents, ',') AS consequent
   FROM (SELECT items, support, unnest(range(1, (1 << len(items)) - 1)) AS mask FROM {p}itemsets WHERE len(items) > 1)),
-{p}supported AS (
-  SELECT s.items, s.antecedents, s.consequents, s.support, a.support AS sa, c.support AS sc, s.support / a.support AS confidence
-  FROM {p}splits s JOIN {p}itemsets a ON s.antecedents = a.items JOIN {p}itemsets c ON s.consequents = c.items),
+{p}begun AS MATERIALIZED (SELECT s.*, a.support AS sa FROM {p}splits s JOIN {p}itemsets a ON s.antecedent = a.key),
+{p}supported AS MATERIALIZED (
+  SELECT s.items, s.antecedents, s.consequents, s.support, s.sa, c.support AS sc, s.support / s.sa AS confidence
+  FROM {p}begun s JOIN {p}itemsets c ON s.consequent = c.key),
 {p}rules AS (
   SELECT items, antecedents, consequents, support, confidence, confidence / sc AS lift, support - sa * sc AS leverage,
          CASE WHEN confidence >= 1 THEN 'infinity'::DOUBLE ELSE (1 - sc) / (1 - confidence) END AS conviction,
