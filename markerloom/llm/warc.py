@@ -29,7 +29,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 LEAST_REVISIT_BYTES = 1000
 RANGE_BYTES = 8 << 20
 BLOCK = 1 << 18
-SALTS = 16
+#: A payload on more than this part of all pages is hot; so there are at most a thousand of them.
+HOT_PART = 1000
 ARCHIVES = "path string, bytes long, n_records long"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -37,9 +38,9 @@ RECORDS = "page_id long, url string, record_type string, payload_bytes long, pay
 def with_heads(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """``page_id, url, html, digest, head``: the page that holds the payload in full, null where that is the page itself.
 
-    Only one count and one id per digest are shuffled for it; pages are joined
-    on the digest and a salt, so a payload that a third of all pages share is
-    spread over many tasks.
+    Only one count and one id per digest are shuffled for it. Payloads on more
+    than a thousandth of all pages, at most a thousand, are sent along; the rest
+    is joined on the digest, so no key has more than a thousandth of the pages.
     """
     own = pages.select(
         F.col(page).cast("long").alias("page_id"),
@@ -47,15 +48,22 @@ def with_heads(pages: DataFrame, page: str = "page_id", url: str = "url", html:
         F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"),
     )
     digested = own.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    shared = (
+    shared = stored(
         digested.filter(F.octet_length("html") >= least_bytes)
         .groupBy("digest")
         .agg(F.count("*").alias("n"), F.max("page_id").alias("head"))
-        .filter("n > 1 and head is not null")
+        .filter("n > 1 and head is not null"),
+        "digests",
     )
-    salted = shared.select("digest", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    joined = digested.withColumn("salt", salt).join(salted, ["digest", "salt"], "left").drop("salt")
+    total = pages.count()
+    is_hot = F.col("n") * HOT_PART > total
+    hot = shared.filter(is_hot).select("digest", F.col("head").alias("hot_head"))
+    rest = shared.filter(~is_hot).select(F.col("digest").alias("key"), "head")
+    # Pages that have found theirs get keys of their own, which no digest equals.
+    spread = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    found = digested.join(F.broadcast(hot), "digest", "left")
+    keyed = found.withColumn("key", F.when(F.col("hot_head").isNull(), F.col("digest")).otherwise(spread))
+    joined = keyed.join(rest, "key", "left").withColumn("head", F.coalesce("hot_head", "head")).drop("key", "hot_head")
     return joined.withColumn("head", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")))
 
 

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -194,6 +195,21 @@ def page_rows():
     return [(1, "http://a/b c\r\nX: y", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (6, "u", fake * 200), (2, None, big)]
 
 
+def test_hot_and_rare_payloads_find_their_page(spark):
+    rng = random.Random(3)
+    payloads = ["h" * 1200] * 700 + [f"{i // 2:04d}" * 300 for i in range(1600)] + ["s" * 999] * 50
+    rng.shuffle(payloads)
+    rows = [(i if i % 97 else None, f"u{i % 3}" if i % 5 else None, text) for i, text in enumerate(payloads)]
+    heads = {}
+    for i, _, text in rows:
+        if len(text) >= 1000 and i is not None:
+            heads[text] = max(i, heads.get(text, -1))
+    wanted = Counter((i, text, heads.get(text) if heads.get(text) != i else None) for i, _, text in rows)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = Counter((r["page_id"], r["html"], r["head"]) for r in warc.with_heads(pages).collect())
+    assert got == wanted
+
+
 @pytest.mark.parametrize("range_bytes", [64, 1000, 1 << 20])
 def test_archives_read_back_at_any_range(spark, tmp_path, range_bytes):
     pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string").coalesce(1)
