@@ -10,6 +10,8 @@ fingerprints is the share of equal signatures among the bins that either fills.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,21 +119,25 @@ def _slots(texts: DataFrame) -> Column:
     return F.when(F.col("doc_id").isNull(), untold).otherwise(ranged)
 
 
-def with_next(texts: DataFrame, carried: list[str]) -> DataFrame:
+def with_next(texts: DataFrame, carried: list[str], computed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds ``next``, a struct of the ``carried`` columns of the next row by falling ``doc_id``, after the last the first.
 
-    ``texts`` has ``doc_id, text`` and what is carried. Ties are ordered by the
+    ``texts`` has ``doc_id, text`` and what is carried, or ``computed`` adds it. Ties are ordered by the
     text's hash, then the text; rows equal in both can follow each other in any
     order, as they are alike. Rows are ordered inside narrow key ranges, and
     the first row of each range serves the last one of the range before it.
+    These first rows are found before ``computed`` is applied, so that only
+    theirs is done twice.
     """
+    computed = computed or (lambda df: df)
     tied = texts.withColumn("tie", F.xxhash64("text"))
     tied = tied.withColumn("slot", _slots(tied))
     order = [F.desc("doc_id"), F.asc("tie"), F.asc("text")]
     inside = Window.partitionBy("slot").orderBy(*order)
-    moved = tied.withColumn("next", F.lead(F.struct(*carried)).over(inside))
+    moved = computed(tied).withColumn("next", F.lead(F.struct(*carried)).over(inside))
     rank = F.struct((-F.col("doc_id").cast("decimal(20,0)")).alias("falling"), "tie", "text")
-    firsts = tied.groupBy("slot").agg(F.min_by(F.struct(*carried), rank).alias("first"))
+    heads = tied.groupBy("slot").agg(F.min_by(F.struct(*texts.columns), rank).alias("head"))
+    firsts = computed(heads.select("slot", "head.*")).select("slot", F.struct(*carried).alias("first"))
     all_slots = Window.orderBy(F.desc("slot"))
     follows = (
         tied.groupBy("slot").agg(F.lit(1).alias("_one"))
@@ -153,8 +159,7 @@ def compare_edits(documents: DataFrame, key: str = "doc_id", text: str = "text")
     fewer than ``SHINGLE`` words is one k-mer; repeated rows stay; a single
     document follows itself; no documents give no rows.
     """
-    own = with_fingerprint(keyed_texts(documents, key, text), "text", "fingerprint")
-    near = with_next(own, ["text", "fingerprint"])
+    near = with_next(keyed_texts(documents, key, text), ["text", "fingerprint"], lambda df: with_fingerprint(df, "text", "fingerprint"))
     size = F.char_length("text")
     cut = F.floor(size / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - cut), F.substring(F.col("next.text"), F.lit(1), cut))
