@@ -63,10 +63,9 @@ def _meta(spark, sf):
 )
 def _annotation(spark, sf):
     path = scratch_path(spark, "annotation_tsv")
-    entries = brand_annotations(spark, sf)
-    suppliers = [row.s for row in tables.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("s")).collect()]
-    wide = entries.groupBy(F.col("feature").alias(tsv.ANNOTATED_FEATURE)).pivot("sample_id", sorted(suppliers)).agg(F.first("entry"))
-    results.export_tsv(wide, path)
+    suppliers = tables.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("s")).distinct().dropna()
+    names = sorted(row.s for row in suppliers.collect())
+    results.export_wide_tsv(brand_annotations(spark, sf), path, "feature", "sample_id", "entry", names, tsv.ANNOTATED_FEATURE)
     return tsv.read_annotation(spark, path)
 
 

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from markerloom.catalog import files
 from markerloom.functions import round_even, to01
 from markerloom.operators import checks, presence
-from markerloom.sources import tsv
+from markerloom.sources import results, tsv
 
 
 def test_tokens(spark):
@@ -155,3 +156,29 @@ def test_quoted_cells(spark, tmp_path):
     path.write_text('"sample"\t"OG a"\tOG2\n"s ""1"""\t"1"\t0\ns2\t\tTRUE\n')
     got, _ = tsv.read_presence(spark, str(path), "sample")
     assert {r.sample_id: r["items"] for r in got.collect()} == {'s "1"': ["OG a"], "s2": ["OG2"]}
+
+
+def test_wide_tsv_of_very_many_columns(spark, tmp_path):
+    names = sorted(f"s{i}" for i in range(30_000))
+    held = {("f", "s0"): "part_1 A", ("f", "s9999"): 'the "B", C ', ("g", "s17"): "part_2", ("g", "s18"): "", (None, "s5"): "D", ("h", "other"): "E"}
+    cells = spark.createDataFrame([(*key, entry) for key, entry in held.items()], "feature string, sample_id string, entry string")
+    path = str(tmp_path / "wide")
+    results.export_wide_tsv(cells, path, "feature", "sample_id", "entry", names, "Orthogroup")
+    assert {len(r.value.split("\t")) for r in spark.read.text(path).collect()} == {30_001}
+    got = {(r.feature, r.sample_id): r.entry for r in tsv.read_annotation(spark, path).collect()}
+    assert got == {k: v for k, v in held.items() if v and k[1] != "other"}
+    results.export_wide_tsv(cells.limit(0), str(tmp_path / "empty"), "feature", "sample_id", "entry", names, "Orthogroup")
+    assert tsv.read_annotation(spark, str(tmp_path / "empty")).isEmpty()
+    with pytest.raises(Exception, match="already exists"):
+        results.export_wide_tsv(cells, path, "feature", "sample_id", "entry", names, "Orthogroup")
+
+
+def test_annotation_file_with_a_column_per_supplier(spark, tmp_path):
+    # 20,000 suppliers, one of them twice; each supplies one part. A pivot makes a column of the plan for each.
+    n = 20_000
+    spark.range(n).union(spark.range(1)).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(n).select(F.col("id").alias("l_partkey"), F.col("id").alias("l_suppkey")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    brand = F.concat(F.lit("Brand#"), (F.col("id") % 3).cast("string")).alias("p_brand")
+    spark.range(n).select(F.col("id").alias("p_partkey"), brand, F.lit("TIN").alias("p_type")).write.parquet(str(tmp_path / "part.parquet"))
+    got = files.QUERIES["file_annotation"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted((f"Brand#{i % 3}", str(i), f"part_{i} TIN") for i in range(n))
