@@ -12,7 +12,8 @@ from __future__ import annotations
 import base64
 import heapq
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -21,13 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markerloom.llm.common import Batches, arrow_schema, keyed_texts, stored
-from markerloom.llm.pretokens import gather_flat, in_groups, split_words
+from markerloom.llm.pretokens import gather_flat, in_groups, position_weights, split_words
 from markerloom.llm.tokens import vocabulary_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct words that are sent along at most, the most frequent of a sample of the documents.
-FREQUENT_WORDS = 300_000
+FREQUENT_WORDS = 500_000
 SAMPLED = 0.1
+#: They are merged in so many lots.
+MERGED_LOTS = 64
 #: Longer words are never sent along; so the table has a size bound.
 FREQUENT_BYTES = 64
 #: The fold takes the square of a word's length; longer words are merged with a heap by the same ranks.
@@ -215,14 +218,107 @@ def word_counts(texts: DataFrame, path: str) -> DataFrame:
     return texts.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(texts: DataFrame, path: str, limit: int = FREQUENT_WORDS, fraction: float = SAMPLED) -> dict[str, bytes]:
-    """Frequent words that are no tokens themselves, with their ids: at most ``limit`` times ``FREQUENT_BYTES`` bytes.
+@dataclass
+class KnownWords:
+    """Words with their ids in a few arrays, by the hash of their bytes: about 35 bytes for a word, not 200 as in a dictionary."""
+
+    hashes: np.ndarray  # ascending
+    raw: np.ndarray  # bytes of all words, one after another
+    begins: np.ndarray  # of each word in ``raw``, and the end
+    ids: np.ndarray
+    firsts: np.ndarray  # of each word in ``ids``, and the end
+
+    @classmethod
+    def of(cls, raw: np.ndarray, lengths: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> KnownWords:
+        # Of words with the same hash one is kept; the others are merged like any word that is not here.
+        hashes, kept = np.unique(_hashes(raw, lengths), return_index=True)
+        raw, lengths = gather_flat(raw, lengths, kept)
+        ids, sizes = gather_flat(ids, sizes, kept)
+        small = np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32
+        return cls(hashes, raw, _ends(lengths).astype(np.uint32), ids.astype(small), _ends(sizes).astype(np.uint32))
+
+    def find(self, raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Number of each word here, -1 for those that are not."""
+        out = np.full(len(lengths), -1, dtype=np.int64)
+        own = np.flatnonzero(lengths <= np.diff(self.begins).max(initial=0))
+        if not len(own):
+            return out
+        hashes = _hashes(*gather_flat(raw, lengths, own))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        alike = (self.hashes[at] == hashes) & (self.begins[at + 1] - self.begins[at] == lengths[own])
+        here, there = own[alike], at[alike]
+        # A hash may be shared by chance, so all bytes are compared.
+        ours, sizes = gather_flat(raw, lengths, here)
+        same = ours == _pieces(self.raw, self.begins, there)[0]
+        if not same.all():
+            equal = np.logical_and.reduceat(same, np.cumsum(sizes) - sizes)
+            here, there = here[equal], there[equal]
+        out[here] = there
+        return out
+
+    def ids_of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered words, one after another, and how many each has."""
+        return _pieces(self.ids, self.firsts, number)
+
+
+def _ends(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _pieces(flat: np.ndarray, begins: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins the numbered pieces of ``flat``; also the length of each."""
+    first = begins[number].astype(np.int64)
+    lengths = begins[number + 1].astype(np.int64) - first
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total, dtype=np.int64) + np.repeat(first - (ends - lengths), lengths)], lengths
+
+
+def _hashes(raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word; no word is empty."""
+    if not len(lengths):
+        return np.zeros(0, dtype=np.uint64)
+    firsts = np.cumsum(lengths) - lengths
+    offset = np.arange(len(raw)) - np.repeat(firsts, lengths)
+    mixed = (raw.astype(np.uint64) + np.uint64(1)) * position_weights(1 << max(6, int(lengths.max()).bit_length()))[offset]
+    mixed ^= mixed >> np.uint64(31)
+    return np.add.reduceat(mixed, firsts) * np.uint64(0x94D049BB133111EB)
+
+
+def _bytes_of(words: pa.StringArray | pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words one after another, and the length of each."""
+    if not len(words):
+        return np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
+def frequent_words(texts: DataFrame, path: str, limit: int = FREQUENT_WORDS, fraction: float = SAMPLED) -> KnownWords:
+    """All tokens, and frequent words that are none, with their ids: of these at most ``limit``, of ``FREQUENT_BYTES`` bytes each.
 
     Counted in a row sample. Counts fall into classes of a factor 2 ** 0.125;
     whole classes are taken from the top while they fit, so nothing is sorted.
     """
-    if limit <= 0:
-        return {}
+    tokens = read_ranks(path)
+    raw, lengths = _bytes_of(pa.array(tokens.keys(), pa.binary()))
+    ids = np.fromiter(tokens.values(), dtype=np.uint32, count=len(tokens))
+    merged = _merged_words(texts, path, limit, fraction) if limit > 0 else None
+    if merged is None:
+        return KnownWords.of(raw, lengths, ids, np.ones(len(tokens), dtype=np.int64))
+    words = merged["words"].combine_chunks().flatten().cast(pa.string())
+    found = merged["merged"].combine_chunks().flatten()
+    more_raw, more_lengths = _bytes_of(words)
+    return KnownWords.of(
+        np.concatenate([raw, more_raw]),
+        np.concatenate([lengths, more_lengths]),
+        np.concatenate([ids, found.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)]),
+        np.concatenate([np.ones(len(tokens), dtype=np.int64), found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)]),
+    )
+
+
+def _merged_words(texts: DataFrame, path: str, limit: int, fraction: float) -> pa.Table | None:
+    """``words, merged``: lots of frequent words and their ids; None if there are no words."""
     spark = texts.sparkSession
     level = F.floor(F.log2("n") * 8)
     counts = stored(word_counts(texts.sample(fraction, seed=1), path).select("word", level.alias("level")), "bpe_words")
@@ -233,14 +329,12 @@ def frequent_words(texts: DataFrame, path: str, limit: int = FREQUENT_WORDS, fra
             break
         least = row["level"]
     if least is None:
-        return {}
-    top = counts.filter(F.col("level") >= least).withColumn("lot", F.pmod(F.xxhash64("word"), F.lit(64)))
-    lots = top.groupBy("lot").agg(F.collect_list("word").alias("words"))
+        return None
+    # As many partitions as lots: small as the words are, merging them is the work.
+    top = counts.filter(F.col("level") >= least).withColumn("lot", F.pmod(F.xxhash64("word"), F.lit(MERGED_LOTS)))
+    lots = top.repartition(MERGED_LOTS, "lot").groupBy("lot").agg(F.collect_list("word").alias("words"))
     bytes_of = F.transform("words", lambda word: _byte_values(F.encode(word, "UTF-8")))
-    merged = Merges(spark, path).applied(lots, bytes_of, "words")
-    return {
-        word: np.array(ids, "<u4").tobytes() for r in merged.collect() for word, ids in zip(r["words"], r["merged"], strict=True)
-    }
+    return Merges(spark, path).applied(lots, bytes_of, "words").toArrow()
 
 
 def _byte_values(binary: Column) -> Column:
@@ -255,22 +349,33 @@ def _lots(texts: DataFrame, path: str, frequent) -> DataFrame:
     """Rows of a few hundred documents each: their words by number, the ids of known words, the bytes of the others."""
     target = arrow_schema(texts.sparkSession, LOTS)
 
-    def known_ids(words: Sequence[str], table: Mapping[str, bytes]) -> tuple[list[bytes], list[list[int]]]:
-        ranks, out, rare = read_ranks(path), [], []
-        for word in words:
-            ids = table.get(word)
-            if ids is None:
-                whole = word.encode()
-                rank = ranks.get(whole)
-                if rank is not None:
-                    ids = rank.to_bytes(4, "little")
-                elif len(whole) > FOLD_BYTES:
-                    ids = np.array(merge_long(whole, path), "<u4").tobytes()
-                else:
-                    rare.append(list(whole))
-                    ids = b""
-            out.append(ids)
-        return out, rare
+    def known_ids(words: Sequence[str], known: KnownWords) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids of the words that need no fold, how many each has, and the bytes of the others."""
+        ranks = read_ranks(path)
+        raw, lengths = _bytes_of(pa.array(words, pa.string()))
+        number = known.find(raw, lengths)
+        here = number >= 0
+        ids, own = known.ids_of(number[here])
+        sizes = np.zeros(len(words), dtype=np.int64)
+        sizes[here] = own
+        rare, other = [], {}
+        for i in np.flatnonzero(~here).tolist():
+            whole = words[i].encode()
+            rank = ranks.get(whole)
+            if rank is not None:
+                other[i] = [rank]
+            elif len(whole) > FOLD_BYTES:
+                other[i] = merge_long(whole, path)
+            else:
+                rare.append(i)
+        if other:
+            at, more = np.fromiter(other, dtype=np.int64, count=len(other)), [*other.values()]
+            own = np.fromiter(map(len, more), dtype=np.int64, count=len(more))
+            ids = np.insert(ids.astype(np.uint32), np.repeat((np.cumsum(sizes) - sizes)[at], own), np.concatenate(more).astype(np.uint32))
+            sizes[at] = own
+        values, counts = gather_flat(raw, lengths, np.asarray(rare, dtype=np.int64))
+        bytes_of = pa.ListArray.from_arrays(pa.array(_ends(counts).astype(np.int32)), pa.array(values.astype(np.int32)))
+        return ids.astype("<u4"), sizes, pa.ListArray.from_arrays(pa.array([0, len(rare)], pa.int32()), bytes_of)
 
     def run(batches: Batches) -> Batches:
         table = frequent.value
@@ -280,10 +385,10 @@ def _lots(texts: DataFrame, path: str, frequent) -> DataFrame:
                 docs, whole = lot.column(0).to_pylist(), lot.column(1).to_pylist()
                 for begin, end in in_groups(whole, CHARS_PER_LOT):
                     words, number, counts = split_words(whole[begin:end])
-                    ids, rare = known_ids(words, table)
-                    sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
-                    columns = [[docs[begin:end]], [counts.tolist()], [number.astype(np.int32).tobytes()], [sizes.tobytes()], [b"".join(ids)], [rare]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+                    ids, sizes, rare = known_ids(words, table)
+                    columns = [[docs[begin:end]], [counts.tolist()], [number.astype(np.int32).tobytes()], [sizes.astype(np.int32).tobytes()], [ids.tobytes()]]
+                    made = [pa.array(c, type=f.type) for c, f in zip(columns, target, strict=False)]
+                    yield pa.RecordBatch.from_arrays([*made, rare.cast(target.field("rare").type)], schema=target)
 
     return texts.mapInArrow(run, LOTS)
 

@@ -100,7 +100,7 @@ def blank_word_starts(points: np.ndarray, text_starts: np.ndarray) -> tuple[np.n
 
 
 @cache
-def _weights(size: int) -> np.ndarray:
+def position_weights(size: int) -> np.ndarray:
     """Odd 64-bit factors for the positions in a word."""
     x = (np.arange(1, size + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
@@ -118,7 +118,7 @@ def distinct(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[
     offset = np.arange(total, dtype=np.int32) - np.repeat(firsts.astype(np.int32), lengths)
     # The characters of all words in a row; words without gaps are the text itself.
     chars = points if total == len(points) else points[offset + np.repeat(begins.astype(np.int32), lengths)]
-    mixed = (chars + np.uint32(1)) * _weights(1 << max(6, int(lengths.max()).bit_length()))[offset]
+    mixed = (chars + np.uint32(1)) * position_weights(1 << max(6, int(lengths.max()).bit_length()))[offset]
     mixed ^= mixed >> np.uint64(31)
     hashed = np.add.reduceat(mixed, firsts) * np.uint64(0x94D049BB133111EB)
     _, first, number = np.unique(hashed, return_index=True, return_inverse=True)

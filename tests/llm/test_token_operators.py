@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -121,6 +122,42 @@ def test_long_words_merge_like_short_ones():
             assert bpe.merge_long(word.encode(), path) == known.encode_ordinary(word)
 
 
+def known_table(ids):
+    raw, lengths = bpe._bytes_of(pa.array([w.encode() for w in ids], pa.binary()))
+    sizes = np.array([len(x) for x in ids.values()], dtype=np.int64)
+    return bpe.KnownWords.of(raw, lengths, np.array([i for x in ids.values() for i in x], dtype=np.uint32), sizes)
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_known_words_are_found_by_all_their_bytes(monkeypatch, shared):
+    if shared:  # words of the same first byte have the same hash
+        monkeypatch.setattr(bpe, "_hashes", lambda raw, lengths: raw[np.cumsum(lengths) - lengths].astype(np.uint64))
+    ids = {"abc": [1, 70_000], "b": [2], "é!": [3, 4, 5]}
+    table = known_table(ids | {"ax": [9]} if shared else ids)
+    asked = ["zz", "é!", "abc", "abd", "a", "b", "bb", "é", "a" * 300, "ax"]
+    found = table.find(*bpe._bytes_of(pa.array(asked, pa.string())))
+    flat, sizes = table.ids_of(found[found >= 0])
+    got = dict(zip([w for w, at in zip(asked, found, strict=True) if at >= 0], np.split(flat.tolist(), np.cumsum(sizes)[:-1]), strict=True))
+    # Of two words that share a hash one is left to the fold.
+    assert {w: x.astype(int).tolist() for w, x in got.items()} == ids
+    nothing = np.zeros(0, dtype=np.int64)
+    assert not len(table.find(np.zeros(0, dtype=np.uint8), nothing)) and not len(table.ids_of(nothing)[0])
+
+
+def test_known_words_take_little_memory():
+    table = known_table({f" word{i}": [i % 50_000, 7, 8] for i in range(20_000)})
+    assert sum(getattr(table, f).nbytes for f in ("hashes", "raw", "begins", "ids", "firsts")) < 20_000 * 40
+
+
+def test_only_words_not_sent_along_are_folded(spark):
+    texts = spark.createDataFrame([(1, "Qzvrtk hello hello"), (2, None), (3, "Qzvrtk wwqxj " + "xyq" * 100)], "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path(bpe.RANKS)
+    for limit, folded in ((0, {"Qzvrtk", " wwqxj"}), (50, set())):
+        sent = spark.sparkContext.broadcast(bpe.frequent_words(texts.fillna(""), path, limit, 1.0))
+        rare = [bytes(word).decode() for r in bpe._lots(texts.fillna(""), path, sent).collect() for word in r["rare"]]
+        assert len(rare) == len(set(rare)) and set(rare) == folded
+
+
 def test_frame_files(documents, tokenizer, tmp_path):
     files = frames.write_frames(documents, folder=str(tmp_path / "frames"), frame_ids=256)
     got = frames.read_frames(files).collect()
