@@ -29,7 +29,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct words that are sent along at most, the most frequent of a sample of the documents.
 FREQUENT_WORDS = 500_000
 SAMPLED = 0.1
-#: They are merged in so many lots.
+#: Words that a task counts at once; a bound of memory.
+COUNTED_TOGETHER = 50_000
+#: Frequent words are merged in so many lots.
 MERGED_LOTS = 64
 #: Longer words are never sent along; so the table has a size bound.
 FREQUENT_BYTES = 64
@@ -210,7 +212,7 @@ def word_counts(texts: DataFrame, path: str) -> DataFrame:
                     whole = word.encode()
                     if len(whole) <= FREQUENT_BYTES and whole not in ranks:
                         held[word] += n
-                if len(held) > 200_000:
+                if len(held) > COUNTED_TOGETHER:
                     yield emit(held)
                     held.clear()
         yield emit(held)
@@ -261,6 +263,11 @@ class KnownWords:
         return _pieces(self.ids, self.firsts, number)
 
 
+def _small(number: np.ndarray, words: int) -> np.ndarray:
+    """Numbers below ``words`` in two bytes each if they fit, else in four; all lots of a task are in memory at once."""
+    return number.astype(np.uint16 if words <= 1 << 16 else np.int32)
+
+
 def _ends(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])
 
@@ -386,7 +393,7 @@ def _lots(texts: DataFrame, path: str, frequent) -> DataFrame:
                 for begin, end in in_groups(whole, CHARS_PER_LOT):
                     words, number, counts = split_words(whole[begin:end])
                     ids, sizes, rare = known_ids(words, table)
-                    columns = [[docs[begin:end]], [counts.tolist()], [number.astype(np.int32).tobytes()], [sizes.astype(np.int32).tobytes()], [ids.tobytes()]]
+                    columns = [[docs[begin:end]], [counts.tolist()], [_small(number, len(words)).tobytes()], [sizes.astype(np.int32).tobytes()], [ids.tobytes()]]
                     made = [pa.array(c, type=f.type) for c, f in zip(columns, target, strict=False)]
                     yield pa.RecordBatch.from_arrays([*made, rare.cast(target.field("rare").type)], schema=target)
 
@@ -409,7 +416,7 @@ def _assembled(lots: DataFrame) -> DataFrame:
                     place = np.repeat((np.cumsum(sizes) - sizes)[rare], own)
                     flat = np.insert(flat, place, lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32))
                     sizes[rare] = own
-                ids, lengths = gather_flat(flat, sizes, np.frombuffer(number.as_py(), dtype=np.int32))
+                ids, lengths = gather_flat(flat, sizes, np.frombuffer(number.as_py(), dtype=np.uint16 if len(sizes) <= 1 << 16 else np.int32))
                 words = np.concatenate([[0], np.cumsum(n_words.values.to_numpy(zero_copy_only=False))]).astype(np.int64)
                 bounds = np.concatenate([[0], np.cumsum(lengths)])[words]
                 raw = ids.astype("<u4").tobytes()
