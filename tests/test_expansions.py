@@ -1,7 +1,8 @@
-"""Paths from shared expansions against those of scans."""
+"""Paths from shared expansions against those of scans, and areas by one sort against pairs."""
 
 import dataclasses
 
+import numpy as np
 import pytest
 from test_paths import SETTINGS, table_of
 
@@ -31,3 +32,11 @@ def test_expansions_give_the_paths_of_scans(spark, baskets, monkeypatch, classes
         coef = lambda f: {(r["fit_id"], r["class"], r["feature"]): r["coef"] for r in f.coef.collect()}
         same, (a, b) = [k for k, v in best(plain).items() if best(found)[k] == v], (coef(plain), coef(found))
         assert same and all(a.get(k, 0.0) == pytest.approx(b.get(k, 0.0), abs=3e-6) for k in a.keys() | b.keys() if k[0] in same)
+
+
+def test_areas_with_ties():
+    rng = np.random.default_rng(0)
+    for digits in (0, 1, 8):
+        scores, own = np.round(rng.normal(size=90), digits), rng.random(90) < 0.4
+        pairs = [(a > b) + 0.5 * (a == b) for a in scores[own] for b in scores[~own]]
+        assert paths._area(scores, own) == pytest.approx(np.mean(pairs), abs=1e-12)
